@@ -1,0 +1,140 @@
+"""Records that differ only in white space, letter case, punctuation or the order of fields.
+
+Bottom-up hashing of a record (value, source_url): leaves are normalised to lower-case letters and digits, the
+digests of a node's unordered children (query parameters, object members, at any depth) are sorted, and the root
+digest groups the copies. A group is confirmed by comparing its members' whole canonical structure, inside the same
+aggregation; the members of a group that disagree (two structures with one digest) are grouped by structure instead.
+
+Groups are aggregated map-side first. Groups that hold more than 1/200 of all rows are at most 200 by the
+pigeonhole principle, so they alone are joined back by broadcast; all others go through a shuffle.
+
+Defined cases: null value or source_url equals another null only; an empty text, or one of punctuation only, equals
+another such text.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lintlake.sources.tables import cut
+
+#: A group above this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 200
+#: An object literal starts with a bare or quoted member name and a colon that starts no URL.
+OBJECT_LITERAL = r"^[\s\p{P}\p{S}]*+[A-Za-z_$][\w$]*+[\"'`]?\s*+:(?!//)"
+#: Members end at a comma outside quotes; possessive, so that long texts use no stack.
+MEMBER = r"(?:[^,'\"`]++|'[^']*+'|\"[^\"]*+\"|`[^`]*+`|['\"`])++"
+QUOTED = r"'[^']*+'|\"[^\"]*+\"|`[^`]*+`"
+
+
+def normal_leaf(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}]++", ""))
+
+
+def _node(kind: str, fixed: Column, children: Column) -> Column:
+    """Canonical structure of a node: the ordered part, then the sorted, non-empty children."""
+    kept = F.array_sort(F.filter(F.transform(children, normal_leaf), lambda x: x != ""))
+    return F.concat(F.lit(kind), fixed, F.lit("\u0001"), F.array_join(kept, "\u0002"))
+
+
+def _nested(values: pd.Series) -> pd.Series:
+    """Canonical structure of object literals that hold further objects or lists."""
+    import re
+
+    def leaf(s: str) -> str:
+        return "".join(ch for ch in s.lower() if ch.isalnum())
+
+    token = re.compile(r"'[^']*'|\"[^\"]*\"|`[^`]*`|[{}\[\],]|[^{}\[\],'\"`]+|['\"`]")
+
+    def shape(s: str) -> str:
+        # each frame: kind, finished children, text of the child being read
+        stack: list[list] = [["{", [], ""]]
+        for m in token.finditer(s):
+            t = m.group()
+            if t in "{[" and len(t) == 1:
+                stack.append([t, [], ""])
+            elif t in "}]" and len(t) == 1 and len(stack) > 1:
+                kind, done, text = stack.pop()
+                done = [x for x in [*done, text] if x]
+                body = "\u0003".join(sorted(done) if kind == "{" else done)
+                stack[-1][2] += f"{kind}{body}{'}' if kind == '{' else ']'}"
+            elif t == ",":
+                stack[-1][1].append(stack[-1][2])
+                stack[-1][2] = ""
+            else:
+                stack[-1][2] += leaf(t)
+        while len(stack) > 1:
+            kind, done, text = stack.pop()
+            done = [x for x in [*done, text] if x]
+            stack[-1][2] += kind + "\u0003".join(sorted(done) if kind == "{" else done)
+        done = [x for x in [*stack[0][1], stack[0][2]] if x]
+        return "n" + "\u0003".join(sorted(done))
+
+    return values.map(lambda v: None if v is None else shape(v))
+
+
+nested_structure = F.pandas_udf(_nested, T.StringType())
+
+
+def structures(df: DataFrame, value: str = "value", source: str = "source_url") -> DataFrame:
+    """``df`` with ``canon``, the canonical structure of both fields, and ``root``, its digest."""
+    v = F.col(value)
+    is_object = v.rlike(OBJECT_LITERAL)
+    depth = F.regexp_count(F.regexp_replace(v, QUOTED, ""), F.lit(r"[{\[]"))
+
+    def url(c: Column) -> Column:
+        query = F.when(F.instr(c, "?") > 0, F.split(F.substr(c, F.instr(c, "?") + 1), "&"))
+        return _node("u", normal_leaf(F.substring_index(c, "?", 1)), F.coalesce(query, F.array().cast("array<string>")))
+
+    members = _node("o", F.lit(""), F.regexp_extract_all(v, F.lit(MEMBER), F.lit(0)))
+    flat = F.when(v.isNull(), F.lit("-")).when(is_object, members).otherwise(url(v))
+    source_part = F.coalesce(url(F.col(source)), F.lit("-"))
+    deep = is_object & (depth > 1)
+    parts = df.where(~F.coalesce(deep, F.lit(False))).withColumn("_value", flat)
+    nested = df.where(F.coalesce(deep, F.lit(False))).withColumn("_value", nested_structure(v))
+    both = parts.unionByName(nested)
+    # leaves and unordered nodes are hashed first, the root from their digests
+    root = F.xxhash64(F.xxhash64("_value"), F.xxhash64(source_part))
+    return both.withColumn("canon", F.concat(F.col("_value"), F.lit("\u0004"), source_part)).withColumn("root", root).drop("_value")
+
+
+def copies(df: DataFrame, id_col: str = "endpoint_id", value: str = "value", source: str = "source_url") -> tuple[DataFrame, DataFrame]:
+    """(groups, members): groups of two rows or more as (root, canon, first_id, copies), members as (first_id, id)."""
+    keyed = structures(df.select(F.col(id_col).alias("id"), value, source), value, source).select("id", "canon", "root")
+    by_root = keyed.groupBy("root").agg(
+        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("canon").alias("canon"), F.max("canon").alias("other")
+    ).where("copies > 1")
+    by_root = cut(by_root)
+    agreed = by_root.where("canon = other").select("root", "canon", "first_id", "copies")
+    # digests that two structures share: regrouped by the structure itself
+    clash = keyed.join(by_root.where("canon <> other").select("root"), "root", "left_semi")
+    split = clash.groupBy("root", "canon").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    groups = agreed.unionByName(split.select("root", "canon", "first_id", "copies"))
+
+    floor = keyed.count() * HOT_SHARE
+    is_hot = F.col("copies") > F.lit(floor)
+    slim = keyed.select("id", "root")
+    hot = agreed.where(is_hot).select("root", "first_id")
+    by_hot = slim.join(F.broadcast(hot), "root").select("first_id", "id")
+    rest = slim.join(F.broadcast(hot.select("root")), "root", "left_anti")
+    by_rest = rest.join(agreed.where(~is_hot).select("root", "first_id"), "root").select("first_id", "id")
+    by_clash = clash.join(split.select("root", "canon", "first_id"), ["root", "canon"]).select("first_id", "id")
+    members = by_hot.unionByName(by_rest).unionByName(by_clash)
+    return groups, members.where("id <> first_id")
+
+
+def duplicate_endpoints(endpoints: DataFrame) -> DataFrame:
+    """(first_endpoint_id, endpoint_id) for each copy that is not the smallest id of its group."""
+    _, members = copies(endpoints)
+    return members.select(F.col("first_id").alias("first_endpoint_id"), F.col("id").alias("endpoint_id"))
+
+
+def collapsed_endpoints(endpoints: DataFrame) -> DataFrame:
+    """One record per group (first_endpoint_id, canonical key, copies); rows without a copy count 1."""
+    keyed = structures(endpoints.select("endpoint_id", "value", "source_url"))
+    return keyed.groupBy("root", "canon").agg(F.min("endpoint_id").alias("first_endpoint_id"), F.count(F.lit(1)).alias("copies")).select(
+        "first_endpoint_id", "copies"
+    )
