@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import canonical, leakage
+from lintlake.llm import canonical, leakage, syntax
 from lintlake.sources.tables import table
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "fetched_files")).select("file_id")
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, d, "fetched_files"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -26,5 +34,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_items, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p8_found, p8_items, p9_found, p9_canonical)}
 ORACLES: dict[str, str] = {}
