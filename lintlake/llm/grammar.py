@@ -21,8 +21,14 @@ CLOSE = "␃"
 
 def chars(*cs: str) -> str:
     """One token of these classes, with an optional line end before it."""
-    body = "".join("\\" + c if c in "\\]^-[" else c for c in "".join(cs))
-    return f"\n?[{body}]"
+    body, run = [], ""
+    for c in [*sorted(set("".join(cs))), ""]:
+        if run and c and ord(c) == ord(run[-1]) + 1 and ord(c) >= 0xE000:
+            run += c
+            continue
+        body.append(f"{run[0]}-{run[-1]}" if len(run) > 2 else "".join("\\" + x if x in "\\]^-[" else x for x in run))
+        run = c
+    return f"\n?[{''.join(body)}]"
 
 
 def alt(*xs: str) -> str:

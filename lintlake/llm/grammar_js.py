@@ -183,9 +183,9 @@ def lex(text: str, ts: bool = False) -> tuple[str, str]:
     return "".join(out).rstrip(NL), ""
 
 
-PAREN = Roles(0xE000, ["args", "params", "for", "expr", "type"])
-BRACE = Roles(0xE100, ["block", "object", "pattern", "class", "switch", "names", "type", "enum"])
-SQUARE = Roles(0xE300, ["array", "pattern", "index", "type", "signature"])
+PAREN = Roles(0xE000, ["type", "for", "params", "args", "expr"])
+BRACE = Roles(0xE100, ["module", "enum", "type", "names", "switch", "class", "pattern", "object", "block"])
+SQUARE = Roles(0xE300, ["signature", "type", "pattern", "index", "array"])
 SUBST, FUNC, CLASS, ARROW, COND, GENERIC, ANON, BODY = map(chr, range(0xE400, 0xE408))
 
 
@@ -198,10 +198,11 @@ def productions(ts: bool) -> dict[str, str]:
     # types
     fn_type = opt(chars("N")) + gen + chars(p("params")) + chars("a")
     t_prim = alt(chars(IDS, "lUs0tu"), chars("+") + chars("0"), chars(p("type")), chars(s("type")), chars(b("type")), chars("M") + chars(p("args")))
-    t_suffix = alt(chars(".") + word, f"[{s('type')}]", chars(GENERIC) if ts else "(?!)")
+    t_suffix = alt(chars(".") + word, chars(s('type'))[2:], chars(GENERIC) if ts else "(?!)")
     t_atom = f"(?>{many(fn_type)}{many(chars('κμU'))}{t_prim}{many(t_suffix)})"
     union = f"(?>{opt(chars('|&'))}{t_atom}{many(chars('|&') + t_atom)})"
-    type_ = f"(?>{union}{opt(chars('e') + union + chars('?') + union + chars(':') + union)}{opt(chars('π') + union)})" if ts else "(?!)"
+    type_ = f"(?>{opt(chars('iκ') + chars('π'))}{union})" if ts else "(?!)"
+    conditional = union + opt(chars("e") + union + chars("?") + union + chars(":") + union) if ts else "(?!)"
     typed = opt(chars(":") + type_) if ts else ""
     mods = many(chars("μσ")) if ts else ""
 
@@ -253,10 +254,10 @@ def productions(ts: bool) -> dict[str, str]:
     )
     ts_decl = alt(
         chars("ι") + ident + gen + opt(chars("e") + type_ + many(chars(",") + type_)) + chars(b("type")),
-        chars("τ") + ident + gen + chars("=") + type_ + term,
+        chars("τ") + ident + gen + chars("=") + conditional + term,
         opt(chars("C")) + chars("u") + ident + chars(b("enum")),
-        chars("ν") + alt(ident + many(chars(".") + ident), chars("s")) + chars(b("block")),
-        chars("μ") + alt(chars("CVλ") + ident + typed + term, decl + term, chars(FUNC, CLASS), chars("ν") + opt(alt(ident, chars("s"))) + chars(b("block"))),
+        chars("ν") + alt(ident + many(chars(".") + ident), chars("s")) + chars(b("module")),
+        chars("μ") + alt(chars("CVλ") + ident + typed + term, decl + term, chars(FUNC, CLASS), chars("ν") + opt(alt(ident, chars("s"))) + chars(b("module"))),
         opt(chars("μ")) + opt(chars("α")) + chars("F") + ident + gen + chars(p("params")) + typed + term,
     ) if ts else "(?!)"
     do_ = chars("D") + alt(chars(b("block")), expr + chars(";")) + chars("W") + chars(p("expr")) + opt(chars(";"))
@@ -304,7 +305,8 @@ def productions(ts: bool) -> dict[str, str]:
         ),
         "(expr": expr,
         "(type": type_,
-        "{block": many(alt(stmt, item) if ts else stmt),
+        "{block": many(stmt),
+        "{module": many(alt(item, stmt)) if ts else "(?!)",
         "{object": listed(prop),
         "{pattern": listed(pattern_prop),
         "{class": many(member),
