@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import canonical, leakage, syntax
+from lintlake.llm import canonical, leakage, secrets, syntax
 from lintlake.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secrets(table(spark, d, "fetched_files")).select("file_id", "partial_hash").distinct()
+
+
+def p3_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secrets(table(spark, d, "fetched_files"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(table(spark, d, "fetched_files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_files(table(spark, d, "fetched_files")).select("file_id")
 
@@ -34,5 +46,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p8_found, p8_items, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_secrets, p3_redacted, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_canonical)}
 ORACLES: dict[str, str] = {}
