@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import canonical, leakage, secrets, syntax
+from lintlake.llm import canonical, generated, leakage, secrets, syntax
 from lintlake.sources.tables import table
 
 
@@ -21,6 +21,18 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(table(spark, d, "fetched_files"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return generated.classified(table(spark, d, "fetched_files"), table(spark, d, "library_files")).select("file_id")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return generated.classified(table(spark, d, "fetched_files"), table(spark, d, "library_files"))
+
+
+def p5_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    return generated.hand_written(table(spark, d, "fetched_files"), table(spark, d, "file_analysis"), table(spark, d, "library_files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_files(table(spark, d, "fetched_files")).select("file_id")
 
@@ -46,5 +58,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_secrets, p3_redacted, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_secrets, p3_redacted, p5_found, p5_reasons, p5_hand_written, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_canonical)}
 ORACLES: dict[str, str] = {}
