@@ -190,7 +190,7 @@ def reason(m: dict[str, float]) -> str:
         return "data"
     if m["space"] <= 0.08 and m["short"] >= 0.4 and m["tokens"] >= 30:
         return "minified"
-    if m["tokens"] >= 40 and m["reuse"] >= 0.6 and m["reuse"] - m["grammar"] >= 0.4:
+    if m["tokens"] >= 40 and m["reuse"] >= 0.6 and m["reuse"] - m["grammar"] >= 0.37:
         return "generated"
     if m["banner"] and m["reuse"] >= 0.4:
         return "generated"
