@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import canonical, generated, leakage, secrets, syntax
+from lintlake.llm import canonical, generated, leakage, packing, secrets, syntax
 from lintlake.sources.tables import table
 
 
@@ -41,6 +41,14 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(table(spark, d, "fetched_files"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "container_sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, d), table(spark, d, "container_sizes"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -58,5 +66,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_secrets, p3_redacted, p5_found, p5_reasons, p5_hand_written, p6_found, p6_rates, p8_found, p8_items, p9_found, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_secrets, p3_redacted, p5_found, p5_reasons, p5_hand_written, p6_found, p6_rates, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_canonical)}
 ORACLES: dict[str, str] = {}
