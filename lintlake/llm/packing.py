@@ -37,6 +37,8 @@ TERM_BITS = 18
 K1, B = 1.2, 0.75
 #: A container filled to a smaller share than this is dissolved once and packed again.
 FULL = 0.97
+#: A neighbour is taken if it uses at least this share of what the largest item that fits would use.
+NEAR = 0.85
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -161,19 +163,23 @@ class Shard:
                 continue
             take(seed)
             box, room = [seed], capacity - int(sizes[seed])
-            small = int(np.flatnonzero(left[1:])[0]) + 1 if left[1:].any() else capacity + 1
-            if room >= small:
-                near = self.neighbours(seed, free)
-                near = near[sizes[near] <= room]
-                for k in near.tolist():
-                    s = int(sizes[k])
-                    # a neighbour may not leave a gap that nothing fits
-                    if 0 < s <= room and (s == room or room - s >= small):
-                        take(k)
-                        box.append(k)
-                        room -= s
-                        if room < 2 * small:
-                            break
+            near = None
+            while room > 0:
+                have = np.flatnonzero(left[: room + 1])
+                have = have[have > 0]
+                if not len(have) or have[-1] < NEAR * room and len(have) > 1 and have[-1] + have[-2] >= room:
+                    break  # one item more, or two, close the window
+                if near is None:
+                    near = self.neighbours(seed, free)
+                # of the items that use the room about as well as the largest, the best neighbour
+                fits = near[(sizes[near] <= room) & (sizes[near] >= NEAR * have[-1])]
+                if not len(fits):
+                    break
+                k = int(fits[0])
+                take(k)
+                box.append(k)
+                room -= int(sizes[k])
+                near = near[free[near]]
             while room > 0:
                 have = np.flatnonzero(left[: room + 1])
                 have = have[have > 0]
