@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.plans import training
+from lintlake.plans import reference, training
 
-_MODULES = (training,)
+_MODULES = (reference, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
