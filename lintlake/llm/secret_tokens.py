@@ -226,6 +226,8 @@ def own_features(text: str) -> tuple[str, ...]:
     if PLACEHOLDER.search(text):
         out += ["placeholder", "class=placeholder"]
     out += [f"length={min(n // 4, 14)}", f"entropy={_bucket(entropy, 0.5)}", f"switches={min(8, _bucket(10 * switches / n, 1))}"]
+    if len(counts) <= 2:
+        out += ["uniform", "class=uniform"]
     kinds = (any(c.isdigit() for c in text), any(c.isupper() for c in text), any(c.islower() for c in text), any(not c.isalnum() for c in text))
     out.append("kinds=" + "".join("01"[k] for k in kinds))
     return tuple(out)
@@ -273,12 +275,20 @@ def features(window: list[Token], k: int) -> list[int]:
     return [_slot(x) for x in f]
 
 
+# Parts of names that announce a credential, so that even a plain word after them is looked at.
+ANNOUNCING = frozenset("password passwd pwd pw pass passphrase secret token apikey credential".split())
+
+
+def _announced(name: Token, value: Token) -> bool:
+    return len(value.text) >= SHORTEST and value.before[-1:] in ("=", ":", ",") and not ANNOUNCING.isdisjoint(name_parts(name.text))
+
+
 def windows(ts: list[Token], reach: int = 3) -> Iterator[list[Token]]:
     """Runs of tokens from ``reach`` before each value that could be a credential to one after it."""
     last = -1
     run: list[Token] = []
     for k, t in enumerate(ts):
-        if t.kind == "pem" or t.kind not in ("scheme", "host", "path") and may_be_secret(t.text):
+        if t.kind in ("pem", "pass") or t.kind not in ("scheme", "host", "path") and (may_be_secret(t.text) or k > 0 and _announced(ts[k - 1], t)):
             start = max(last + 1, k - reach)
             if run and start > last + 1:
                 yield run

@@ -88,14 +88,11 @@ def preview(value: str) -> str:
 
 
 def mask(text: str, found: list[tuple[Token, str]]) -> str:
-    """``text`` with only the credentials' characters masked, each by one ``*``; line ends stay."""
-    out, at = [], 0
-    for t, _ in found:
-        out.append(text[at : t.start])
-        out.append(re.sub(r"[^\r\n]", "*", t.text))
-        at = t.end
-    out.append(text[at:])
-    return "".join(out)
+    """``text`` with only the credentials' characters masked, each by one ``*``, wherever a value stands; line ends stay."""
+    if not found:
+        return text
+    values = sorted({t.text for t, _ in found}, key=len, reverse=True)
+    return re.sub("|".join(map(re.escape, values)), lambda m: re.sub(r"[^\r\n]", "*", m.group()), text)
 
 
 def shared_model(spark: SparkSession, examples: int = secret_crf.EXAMPLES, seed: int = 7) -> Broadcast:
