@@ -113,55 +113,70 @@ def object_access(endpoints: DataFrame, parameters: DataFrame, docs: DataFrame)
 
 def bundler(content: Column) -> Column:
     """webpack, vite, next or unknown: most signals, ties in that order."""
-    scores = [(k, reduce(lambda a, b: a + b, [F.when(content.rlike(r), 1).otherwise(0) for r in rx])) for k, rx in P.BUNDLERS.items()]
-    best = F.greatest(*[s for _, s in scores])
-    out = F.lit("unknown")
-    for name, s in reversed(scores):
-        out = F.when((s == best) & (s > 0), name).otherwise(out)
-    return out
+    ranked = []
+    for rank, (name, rx) in enumerate(reversed(P.BUNDLERS.items())):
+        signals = reduce(lambda a, b: a + b, [F.when(content.rlike(r), 1).otherwise(0) for r in rx])
+        ranked.append(F.struct(signals.alias("n"), F.lit(rank).alias("rank"), F.lit(name).alias("name")))
+    best = F.array_max(F.array(F.struct(F.lit(0).alias("n"), F.lit(9).alias("rank"), F.lit("unknown").alias("name")), *ranked))
+    return best["name"]
+
+
+_NODE = "array<struct<place:int,chunk_url:string,chunk_name:string,static_imports:array<string>,dynamic_imports:array<string>>>"
 
 
 def asset_nodes(docs: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
     """(chunk_url, chunk_name, bundler, static_imports, dynamic_imports, source_url): one node per chunk, first file wins.
 
-    docs (ord, url, content). Webpack and plain files give a root node with their imports, webpack also named chunks;
-    Vite and Next give a node per chunk. manifests (ord, url, content) hold Vite manifests and come first.
+    docs (ord, url, content). Webpack and plain files give a root node with their imports, webpack also named chunks
+    (the name stands in the call or in the 80 characters before it); Vite and Next give a node per chunk. All of a
+    document's nodes are made in one pass. manifests (ord, url, content) hold Vite manifests and come first.
     """
     empty = F.array().cast("array<string>")
-    static, dynamic = (F.array_distinct(X.all_values("content", p)) for p in (P.STATIC_IMPORT, P.DYNAMIC_IMPORT))
-    ensured = F.flatten(F.transform(X.all_values("content", P.REQUIRE_ENSURE), lambda c: F.regexp_extract_all(c, F.lit(P.QUOTED_URL), F.lit(1))))
-    base = docs.where("content is not null").select("ord", "url", "content", bundler(F.col("content")).alias("bundler"), static.alias("static"), dynamic.alias("dynamic"), ensured.alias("ensured")).where(
-        (F.size("static") > 0) | (F.size("dynamic") > 0) | (F.size("ensured") > 0) | (F.col("bundler") != "unknown")
-    )
-    cols = ["ord", "place", "chunk_url", "chunk_name", "bundler", "static_imports", "dynamic_imports", "source_url"]
     none = F.lit(None).cast("string")
-    all_dynamic = F.when(F.col("bundler") == "webpack", F.array_distinct(F.concat("dynamic", "ensured"))).otherwise(F.col("dynamic"))
-    roots = base.where("bundler in ('webpack', 'unknown')").withColumn("dyn", all_dynamic).where("size(static) > 0 or size(dyn) > 0").select(
-        "ord", F.lit(0).alias("place"), F.col("url").alias("chunk_url"), none.alias("chunk_name"), "bundler", F.col("static").alias("static_imports"), F.col("dyn").alias("dynamic_imports"), F.col("url").alias("source_url")
-    )
-    calls = scan(base.where("bundler = 'webpack'"), [P.DYNAMIC_IMPORT], ["ord", "url", "content"])
-    gaps = F.split("content", P.DYNAMIC_IMPORT.java, -1)
-    region = F.concat(F.right(F.array_join(F.slice(gaps, 1, F.col("match_ord")), "\n"), F.lit(80)), F.col("text"))
-    named = calls.withColumn("chunk_name", F.nullif(F.regexp_extract(region, P.CHUNK_NAME, 1), F.lit(""))).groupBy("ord", "url", "value").agg(F.min_by(F.struct("chunk_name"), "match_ord").alias("n"), F.min("match_ord").alias("m")).where("n.chunk_name is not null")
-    named = named.select("ord", (F.col("m") + 1).alias("place"), F.col("value").alias("chunk_url"), "n.chunk_name", F.lit("webpack").alias("bundler"), empty.alias("static_imports"), empty.alias("dynamic_imports"), F.col("url").alias("source_url"))
 
-    def listed(rows: DataFrame, urls: Column, names: Column | None, kind: str) -> DataFrame:
-        each = rows.select("ord", "url", "static", F.posexplode(urls).alias("k", "chunk_url"))
-        own = F.when((F.col("k") == 0) & F.lit(kind == "vite"), F.col("static")).otherwise(empty)
-        return each.select("ord", F.col("k").alias("place"), "chunk_url", (names if names is not None else none).alias("chunk_name"), F.lit(kind).alias("bundler"), own.alias("static_imports"), empty.alias("dynamic_imports"), F.col("url").alias("source_url"))
+    def node(place: Column, url: Column, name: Column, static: Column, dynamic: Column) -> Column:
+        return F.struct(place.cast("int").alias("place"), url.alias("chunk_url"), name.alias("chunk_name"), static.alias("static_imports"), dynamic.alias("dynamic_imports"))
+
+    static, dynamic = (F.array_distinct(X.all_values("content", p)) for p in (P.STATIC_IMPORT, P.DYNAMIC_IMPORT))
+    quick = F.col("content").rlike(r"import|require\.ensure|/_next/static/chunks/")
+    base = docs.where(quick).select("ord", "url", "content", bundler(F.col("content")).alias("bundler"), static.alias("static"), dynamic.alias("dynamic"))
 
+    ensured = F.flatten(F.transform(X.all_values("content", P.REQUIRE_ENSURE), lambda c: F.regexp_extract_all(c, F.lit(P.QUOTED_URL), F.lit(1))))
+    calls = F.regexp_extract_all("content", F.lit(P.DYNAMIC_IMPORT.java), F.lit(0))
+    gaps = F.split("content", P.DYNAMIC_IMPORT.java, -1)
+    pieces = F.zip_with(F.slice(gaps, 1, F.size(calls)), calls, lambda g, t: F.concat(g, t))
+
+    def named_chunk(x: Column, i: Column) -> Column:
+        before = F.concat(F.array_join(F.slice(pieces, F.greatest(F.lit(1), i - 7), F.least(i, F.lit(8))), ""), F.get(gaps, i))
+        name = F.nullif(F.regexp_extract(F.concat(F.right(before, F.lit(80)), x["t"]), P.CHUNK_NAME, 1), F.lit(""))
+        return node(i + 1, x["v"], name, empty, empty)
+
+    every = X.all_values("content", P.DYNAMIC_IMPORT)
+    zipped = F.arrays_zip(calls.alias("t"), every.alias("v"))
+    named = F.filter(F.transform(zipped, named_chunk), lambda n: n["chunk_name"].isNotNull() & (F.array_position(every, n["chunk_url"]) == n["place"]))
+    listed = F.when(F.col("bundler") == "webpack", F.array_distinct(F.concat("dynamic", ensured))).otherwise(F.col("dynamic"))
+    root = F.when((F.size("static") > 0) | (F.size(listed) > 0), F.array(node(F.lit(0), F.col("url"), none, F.col("static"), listed)))
     preloads = F.array_distinct(F.concat(X.all_values("content", P.VITE_PRELOAD), F.col("dynamic")))
-    pages = F.transform(F.array_distinct(X.all_values("content", P.NEXT_CHUNK)), lambda c: F.concat(F.lit("/_next/static/chunks/"), c))
-    base_name = F.regexp_replace(F.regexp_replace("chunk_url", r"^/_next/static/chunks/", ""), r"(?:\.[^.]*)?\.[^.]*$", "")
-    next_name = F.when(F.col("chunk_url").startswith("/_next/static/chunks/"), base_name)
-    out = roots.select(cols).unionByName(named.select(cols)).unionByName(listed(base.where("bundler = 'vite'"), preloads, None, "vite").select(cols))
-    out = out.unionByName(listed(base.where("bundler = 'next'"), F.array_distinct(F.concat(pages, F.col("dynamic"))), next_name, "next").select(cols))
+    vite = F.transform(preloads, lambda u, i: node(i, u, none, F.when(i == 0, F.col("static")).otherwise(empty), empty))
+    own = F.transform(F.array_distinct(X.all_values("content", P.NEXT_CHUNK)), lambda c: F.struct(F.concat(F.lit("/_next/static/chunks/"), c).alias("u"), F.regexp_replace(c, r"(?:\.[^.]*)?\.[^.]*$", "").alias("n")))
+    other = F.transform(F.col("dynamic"), lambda u: F.struct(u.alias("u"), none.alias("n")))
+    next_ = F.transform(F.concat(own, other), lambda x, i: node(i, x["u"], x["n"], empty, empty))
+    nothing = F.array().cast(_NODE)
+    nodes = (
+        F.when(F.col("bundler") == "vite", vite).when(F.col("bundler") == "next", next_)
+        .when(F.col("bundler") == "webpack", F.concat(F.coalesce(root, nothing), named)).otherwise(F.coalesce(root, nothing))
+    )
+    out = base.select("ord", "url", "bundler", F.explode(nodes).alias("n")).select("ord", "n.*", "bundler", F.col("url").alias("source_url"))
+    cols = ["ord", "place", "chunk_name", "bundler", "static_imports", "dynamic_imports", "source_url"]
     if manifests is not None:
         entry = F.from_json("content", "map<string,struct<file:string,imports:array<string>,dynamicImports:array<string>>>")
         m = manifests.select("ord", "url", F.explode(entry).alias("k", "v")).where("v.file <> ''")
-        out = out.unionByName(m.select((F.col("ord") - F.lit(1 << 60)).alias("ord"), F.lit(0).alias("place"), F.col("v.file").alias("chunk_url"), F.col("k").alias("chunk_name"), F.lit("vite").alias("bundler"), F.coalesce("v.imports", empty).alias("static_imports"), F.coalesce("v.dynamicImports", empty).alias("dynamic_imports"), F.col("url").alias("source_url")))
-    best = out.groupBy("chunk_url").agg(F.min(F.struct("ord", "place", "chunk_name", "bundler", "static_imports", "dynamic_imports", "source_url")).alias("b"))
-    return best.select("chunk_url", "b.chunk_name", "b.bundler", "b.static_imports", "b.dynamic_imports", "b.source_url")
+        out = out.unionByName(m.select(
+            (F.col("ord") - F.lit(1 << 60)).alias("ord"), F.lit(0).alias("place"), F.col("v.file").alias("chunk_url"), F.col("k").alias("chunk_name"), F.lit("vite").alias("bundler"),
+            F.coalesce("v.imports", empty).alias("static_imports"), F.coalesce("v.dynamicImports", empty).alias("dynamic_imports"), F.col("url").alias("source_url"),
+        ))
+    best = out.groupBy("chunk_url").agg(F.min(F.struct(*cols)).alias("b"))
+    return best.select("chunk_url", *[f"b.{c}" for c in cols[2:]])
 
 
 def asset_edges(nodes: DataFrame) -> DataFrame:
