@@ -46,6 +46,7 @@ class Token(NamedTuple):
 #: A value shorter than this is no credential.
 SHORTEST = 6
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
+_KEY_40 = re.compile(r"(?=.*\d)(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]{40}")
 _PADDING = re.compile(r"={1,2}(?=[\s\"'`,;)}\]]|$)")
 _PLAIN = re.compile(r"[a-z]+|[A-Z]?[a-z]+|/[\w{}/:.$-]*|[\d.]+|[A-Za-z_$][A-Za-z_$.]*\d{0,2}")
 
@@ -55,7 +56,7 @@ def may_be_secret(text: str) -> bool:
     """Whether the labeller looks at a value: all but short ones, plain words and names, paths and numbers."""
     if len(text) < SHORTEST:
         return False
-    if _PLAIN.fullmatch(text) is None or any(rx.fullmatch(text) for rx in _FORMATS.values()):
+    if _PLAIN.fullmatch(text) is None or _KEY_40.fullmatch(text) or any(rx.fullmatch(text) for rx in _FORMATS.values()):
         return True
     return len(text) >= 8 and text[0] != "/" and (_CONSONANTS.search(text) is not None or _mixed(text))
 
