@@ -19,14 +19,14 @@ BITS = 16
 
 _PEM = r"-----BEGIN (?P<what>[A-Z0-9 ]+)-----[\s\S]*?-----END (?P=what)-----"
 _TOKEN = re.compile(
-    rf"(?P<pem>{_PEM})"
+    rf"[ \t\f\v]*+(?:(?P<pem>{_PEM})"
     r"|(?P<line>\r\n?|\n)"
     r"|(?P<slash>/\*|\*/|//(?=[^\n]*)|(?<![\w&])#(?=[ \t!#]))"
     r"|(?P<quote>[\"'`])"
     r"|(?P<url>[A-Za-z][A-Za-z0-9+.-]*://)"
     r"|(?P<word>[^\s\"'`,;(){}\[\]<>=:|]+(?:\|\d+)?)"
     r"|(?P<punct>[=:,;(){}\[\]<>|])"
-    r"|(?P<space>[ \t\f\v]+|[\s\S])"
+    r"|(?P<space>[\s\S]|\Z))"
 )
 _URL_PART = re.compile(r"[^\s\"'`/?#&=:@<>\\]+|[/?#&=:@]")
 _VALUE = re.compile(r"[^&]+|&")
@@ -81,9 +81,10 @@ def tokens(text: str) -> list[Token]:
 
     while at < n:
         m = _TOKEN.match(text, at)
-        kind, s, e = m.lastgroup if m.lastgroup != "what" else "pem", m.start(), m.end()
-        if m.group("pem"):
+        kind = m.lastgroup
+        if kind == "what" or kind == "pem":
             kind = "pem"
+        s, e = m.span(kind)
         at = e
         if kind == "pem":
             add(s, e, "pem")
@@ -94,7 +95,7 @@ def tokens(text: str) -> list[Token]:
                 quote = ""
             before = "\n"
         elif kind == "slash":
-            t = m.group()
+            t = m.group(kind)
             if quote:
                 before += t[-1]
             elif t == "/*":
@@ -105,7 +106,7 @@ def tokens(text: str) -> list[Token]:
                 comment = comment or "line"
                 before = "/"
         elif kind == "quote":
-            q = m.group()
+            q = m.group(kind)
             if comment or quote and q != quote:
                 before += q
                 if not comment:
@@ -121,7 +122,7 @@ def tokens(text: str) -> list[Token]:
             add(s, e, "scheme")
             at = _url(text, e, out, quote, add)
         elif kind == "word":
-            w = m.group()
+            w = m.group(kind)
             if len(w) > 7 and text[e : e + 1] == "=" and (pad := _PADDING.match(text, e)) and (quote or text[pad.end() : pad.end() + 1] not in "\"'` \t" or comment):
                 e = at = pad.end()
                 w = text[s:e]
@@ -129,9 +130,9 @@ def tokens(text: str) -> list[Token]:
                 e -= 1
             add(s, max(e, s + 1), "note" if comment else "piece" if quote else "name")
         elif kind == "punct":
-            before += m.group()
-        elif not quote and not comment and m.group()[0] not in " \t":
-            before += m.group()
+            before += m.group(kind)
+        elif not quote and not comment:
+            before += m.group(kind)
     return out
 
 

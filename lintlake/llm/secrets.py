@@ -38,13 +38,9 @@ _BY_NAME = (
 
 def find(crf: secret_crf.Crf, text: str) -> list[tuple[Token, str]]:
     """(token, type) of every labelled credential in ``text``, in order."""
-    out = []
-    for w in windows(tokens(text)):
-        labels = crf.viterbi([features(w, k) for k in range(len(w))])
-        for k, y in enumerate(labels):
-            if y == 2:
-                out.append((w[k], secret_type(w, k)))
-    return out
+    runs = list(windows(tokens(text)))
+    labels = crf.label([[features(w, k) for k in range(len(w))] for w in runs])
+    return [(w[k], secret_type(w, k)) for w, ys in zip(runs, labels) for k, y in enumerate(ys) if y == 2]
 
 
 def secret_type(window: list[Token], k: int) -> str:
