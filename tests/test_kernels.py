@@ -76,3 +76,25 @@ def test_registry(spark, docs):
     assert [(r.line, r.value) for r in rows] == [(2, "me")]
     registry.register_sql(spark)
     assert spark.sql("select identifier_words('userId'), path_template('/a/{id}/1234')").first() == (["user", "id"], "/a//REPLACE_ID/REPLACE_ID")
+
+
+def test_dom_taint_against_brute_force(spark, data):
+    """The nearest-source rule, over the generated scripts and the stored files."""
+    from lintlake.operators import extract
+
+    df = documents(spark, data).where("content is not null")
+    got = {tuple(r) for r in extract.dom_taint(df).collect()}
+    want = set()
+    for d in df.select("file_id", "url", "content").collect():
+        line = lambda m, t=d.content: t.count("\n", 0, m.start()) + 1
+        sources = [(line(m), p.name) for p in P.TAINT_SOURCES for m in re.finditer(p.regex, d.content)]
+        for p in P.TAINT_SINKS:
+            for m in re.finditer(p.regex, d.content):
+                at = line(m)
+                near = [s for s in sources if abs(s[0] - at) <= P.TAINT_REACH]
+                if near:
+                    s = min(near, key=lambda x: abs(x[0] - at))
+                    between = "\n".join(d.content.split("\n")[min(s[0], at) - 1 : max(s[0], at)])
+                    bridge = re.search(P.ASSIGNED.regex, between)
+                    want.add((d.file_id, d.url, s[1], s[0], p.name, at, P.TAINT_CATEGORY[p.name], bridge.group(1) if bridge else None))
+    assert got == want and len(want) > 20
