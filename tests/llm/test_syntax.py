@@ -3,6 +3,7 @@ import json
 import random
 import re
 import warnings
+from functools import lru_cache
 
 import pytest
 
@@ -11,12 +12,16 @@ from lintlake.llm import syntax as S
 warnings.simplefilter("ignore")
 
 
+@lru_cache
+def permitted(lang):
+    return {a + b for a, b in S.grammar(lang).pairs()}
+
+
 def fault(lang, text):
     tokens, error = S.lex(lang, text)
     if error:
         return error
-    pairs = {a + b for a, b in S.grammar(lang).pairs()}
-    return "pair" if S.adjacent_pairs(lang, tokens) - pairs else S.grammar(lang).fault(tokens)
+    return "pair" if S.adjacent_pairs(lang, tokens) - permitted(lang) else S.grammar(lang).fault(tokens)
 
 
 GOOD = {
