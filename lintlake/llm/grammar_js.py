@@ -184,9 +184,12 @@ def lex(text: str, ts: bool = False) -> tuple[str, str]:
 
 
 PAREN = Roles(0xE000, ["type", "for", "params", "args", "expr"])
-BRACE = Roles(0xE100, ["module", "enum", "type", "names", "switch", "class", "pattern", "object", "block"])
-SQUARE = Roles(0xE300, ["signature", "type", "pattern", "index", "array"])
-SUBST, FUNC, CLASS, ARROW, COND, GENERIC, ANON, BODY = map(chr, range(0xE400, 0xE408))
+BRACE = Roles(0xE100, ["module", "enum", "type", "names", "switch", "class", "pattern", "object", "block", "ambient"])
+SQUARE = Roles(0xE500, ["signature", "type", "pattern", "index", "array"])
+SUBST, FUNC, CLASS, ARROW, COND, GENERIC, ANON, BODY, TYPE_ARROW, TYPE_COND, ELSE, DO = map(chr, range(0xE600, 0xE60C))
+BRACES = "".join(map(BRACE.char, range(1 << len(BRACE.names))))
+#: Windows of statements, in which an else must have its if.
+STATEMENTS = ("top", "{block", "{module", "{switch")
 
 
 def productions(ts: bool) -> dict[str, str]:
@@ -196,13 +199,12 @@ def productions(ts: bool) -> dict[str, str]:
     gen = opt(chars(GENERIC)) if ts else ""
 
     # types
-    fn_type = opt(chars("N")) + gen + chars(p("params")) + chars("a")
+    fn_type = opt(chars("μ")) + opt(chars("N")) + alt(gen + chars(p("params")) + chars("a"), chars(TYPE_ARROW))
     t_prim = alt(chars(IDS, "lUs0tu"), chars("+") + chars("0"), chars(p("type")), chars(s("type")), chars(b("type")), chars("M") + chars(p("args")))
     t_suffix = alt(chars(".") + word, chars(s('type'))[2:], chars(GENERIC) if ts else "(?!)")
     t_atom = f"(?>{many(fn_type)}{many(chars('κμU'))}{t_prim}{many(t_suffix)})"
     union = f"(?>{opt(chars('|&'))}{t_atom}{many(chars('|&') + t_atom)})"
-    type_ = f"(?>{opt(chars('iκ') + chars('π'))}{union})" if ts else "(?!)"
-    conditional = union + opt(chars("e") + union + chars("?") + union + chars(":") + union) if ts else "(?!)"
+    type_ = f"(?>{opt(chars('ilκ') + chars('π'))}{union}{many(chars(TYPE_COND) + union)})" if ts else "(?!)"
     typed = opt(chars(":") + type_) if ts else ""
     mods = many(chars("μσ")) if ts else ""
 
@@ -216,7 +218,7 @@ def productions(ts: bool) -> dict[str, str]:
         chars(".") + alt(word, chars("p")), chars("q") + alt(word, chars("p"), chars(p("args")), chars(s("index")), template),
         chars(p("args")), chars(s("index")), template, *(["!(?!=)", chars(GENERIC)] if ts else []),
     )
-    unary = chars("!+UxωNυ", ARROW)
+    unary = alt(chars("!+UxωNυ"), chars(ARROW, TYPE_ARROW) + f"(?!\n?[{BRACES[0]}-{BRACES[-1]}])")  # a brace after an arrow is a block
     u = f"(?>{many(unary)}{primary}(?:{suffix})*+x?)"
     bin_ = alt(chars("o+*<|&=Anm", COND), chars(">") + (opt(">") + opt(">") if ts else ""))
     cast = chars("δ") + alt(chars("C"), type_) if ts else "(?!)"
@@ -246,27 +248,32 @@ def productions(ts: bool) -> dict[str, str]:
         chars("Vλ") + declarator + opt(init) + many(chars(",") + declarator + opt(init)),
         chars("C") + declarator + init + many(chars(",") + declarator + init),
     )
-    head = alt(
-        chars("I") + chars(p("expr")), chars("O") + opt(chars("ω")) + chars(p("for")), chars("Ww") + chars(p("expr")), ident + chars(":"), chars("E"),
+    within = alt(
+        chars("O") + opt(chars("ω")) + chars(p("for")), chars("Ww") + chars(p("expr")), ident + chars(":"), chars(ELSE),
     )
+    head = alt(chars("I") + chars(p("expr")), within)
     try_ = chars("Y") + chars(b("block")) + alt(
         chars("H") + opt(chars(p("params"))) + chars(b("block")) + opt(chars("L") + chars(b("block"))), chars("L") + chars(b("block"))
     )
+    bare = ident + typed + many(chars(",") + ident + typed) + term  # declared names have no values
     ts_decl = alt(
         chars("ι") + ident + gen + opt(chars("e") + type_ + many(chars(",") + type_)) + chars(b("type")),
-        chars("τ") + ident + gen + chars("=") + conditional + term,
+        chars("τ") + ident + gen + chars("=") + type_ + term,
         opt(chars("C")) + chars("u") + ident + chars(b("enum")),
         chars("ν") + alt(ident + many(chars(".") + ident), chars("s")) + chars(b("module")),
-        chars("μ") + alt(chars("CVλ") + ident + typed + term, decl + term, chars(FUNC, CLASS), chars("ν") + opt(alt(ident, chars("s"))) + chars(b("module"))),
+        chars("μ") + alt(chars("CVλ") + bare, decl + term, chars(FUNC, CLASS), chars("ν") + opt(alt(ident + many(chars(".") + ident), chars("s"))) + alt(chars(b("module", "ambient")), term)),
         opt(chars("μ")) + opt(chars("α")) + chars("F") + ident + gen + chars(p("params")) + typed + term,
     ) if ts else "(?!)"
-    do_ = chars("D") + alt(chars(b("block")), expr + chars(";")) + chars("W") + chars(p("expr")) + opt(chars(";"))
+    do_ = chars(DO) + chars(p("expr")) + opt(chars(";"))
     simple = alt(
         chars(";"), chars(b("block")), chars(FUNC, CLASS), decl + term, ts_decl, try_, do_, chars("S") + chars(p("expr")) + chars(b("switch")),
         chars("R") + f"(?:(?!{NL}){expr})?" + term, chars("T") + f"(?!{NL})" + expr + term, chars("B") + f"(?:(?!{NL}){ident})?" + term,
-        chars("b") + term, f"(?!\n?[{b('block')}{FUNC}{CLASS}{ANON}]){expr}{term}",
+        chars("b") + term, f"(?!\n?[{BRACES[0]}-{BRACES[-1]}{FUNC}{CLASS}{ANON}]){expr}{term}",
     )
     stmt = f"(?>{many(head)}{simple})"
+    # as a whole this stands before a statement like any other head; the nearest if takes the else, so none is open between
+    else_ = chars("I") + chars(p("expr")) + f"(?>{many(within)}{simple})" + chars("E")
+    do_head = chars("D") + stmt + chars("W")
     with_ = opt(chars("wi") + chars(b("object")))
     clause = alt(
         chars("*") + chars("δ") + ident, chars(b("names")), f"{ident}{opt(chars(',') + alt(chars(b('names')), chars('*') + chars('δ') + ident))}",
@@ -293,7 +300,11 @@ def productions(ts: bool) -> dict[str, str]:
     sep = alt(chars(";,"), f"(?={NL})", END)
     type_member = alt(
         many(chars("μγ")) + key + opt(chars("?")) + typed, key + opt(chars("?")) + gen + chars(p("params")) + typed, opt(chars("N")) + gen + chars(p("params")) + typed,
-        opt(chars("μ")) + chars(s("signature")) + opt(chars("?")) + typed,
+        opt(opt(chars("+")) + chars("μ")) + chars(s("signature")) + opt(opt(chars("+")) + chars("?")) + typed,
+    )
+    ambient = alt(
+        item, ts_decl, opt(chars("X")) + chars("CVλ") + bare, chars(FUNC, CLASS), chars(";"),
+        opt(chars("X")) + chars("ν") + opt(alt(ident + many(chars(".") + ident), chars("s"))) + chars(b("ambient")),
     )
     name_item = (opt(chars("τ")) if ts else "") + alt(word, chars("s")) + opt(chars("δ") + alt(word, chars("s")))
     return {
@@ -307,6 +318,7 @@ def productions(ts: bool) -> dict[str, str]:
         "(type": type_,
         "{block": many(stmt),
         "{module": many(alt(item, stmt)) if ts else "(?!)",
+        "{ambient": many(ambient) if ts else "(?!)",
         "{object": listed(prop),
         "{pattern": listed(pattern_prop),
         "{class": many(member),
@@ -318,10 +330,13 @@ def productions(ts: bool) -> dict[str, str]:
         "[pattern": many(alt(chars(","), opt(chars("z")) + binding + opt(init) + alt(chars(","), END))),
         "[index": expr,
         "[type": listed(opt(ident + opt(chars("?")) + chars(":")) + opt(chars("z")) + type_) if ts else "(?!)",
-        "[signature": ident + alt(typed, chars("n") + type_) if ts else "(?!)",
+        "[signature": ident + alt(typed, chars("n") + type_ + opt(chars("δ") + type_)) if ts else "(?!)",
         "⟨": expr,
         "top": many(alt(item, no_return + stmt)),
-        "func": func, "anon": anon, "class": class_, "arrow": arrow, "cond": cond, "arrow_block": chars(ARROW) + chars(b("block")),
+        "func": func, "anon": anon, "class": class_, "arrow": arrow, "cond": cond, "arrow_block": chars(ARROW, TYPE_ARROW) + chars(b("block")),
+        "else": else_, "do": do_head,
+        "type_arrow": f"(?<![α{GENERIC}])" + gen + chars(p("params")) + "a" if ts else "(?!)",
+        "type_cond": chars("e") + union + chars("?") + type_ + chars(":") if ts else "(?!)",
         "generic": chars("<") + listed(many(chars("Cκ")) + type_ + opt(chars("e") + type_) + opt(chars("=") + type_)) + chars(">") if ts else "(?!)",
     }
 
@@ -331,20 +346,25 @@ def _as(symbol: str, rx: re.Pattern, text: str) -> str:
     return rx.sub(lambda m: NL + symbol if m.group()[0] == NL else symbol, text)
 
 
+_PARTS = ("func", "anon", "class", "arrow", "cond", "arrow_block", "else", "do", "type_arrow", "type_cond", "generic")
+
+
 class Grammar:
     def __init__(self, ts: bool):
         self.ts = ts
         self.source = productions(ts)
-        self.rx = {k: re.compile(v if k in ("func", "anon", "class", "arrow", "cond", "arrow_block", "generic") else f"(?:{v}){NL}?") for k, v in self.source.items()}
+        self.rx = {k: re.compile(v if k in _PARTS else f"(?:{v}){NL}?") for k, v in self.source.items()}
         self.flat = lru_cache(200_000)(self._flat)
         self.group = lru_cache(200_000)(self._group)
 
     def _flat(self, content: str) -> str:
         """Functions, classes, arrows and conditionals of a window, each as one class."""
         rx = self.rx
-        if self.ts and "<" in content:
-            while (new := _as(GENERIC, rx["generic"], content)) != content:
-                content = new
+        while self.ts and ("<" in content or "e" in content):
+            new = _as(TYPE_COND, rx["type_cond"], _as(GENERIC, rx["generic"], content))
+            if new == content:
+                break
+            content = new
         while True:
             new = content
             if "F" in new:
@@ -352,7 +372,7 @@ class Grammar:
             if "K" in new:
                 new = _as(CLASS, rx["class"], new)
             if "a" in new:
-                new = _as(ARROW, rx["arrow"], new)
+                new = _as(ARROW, rx["arrow"], _as(TYPE_ARROW, rx["type_arrow"], new) if self.ts else new)
                 new = _as(BODY, rx["arrow_block"], new)
             if "?" in new:
                 new = _as(COND, rx["cond"], new)
@@ -360,7 +380,18 @@ class Grammar:
                 return new
             content = new
 
+    def _paired(self, flat: str) -> str:
+        """``if (x) statement else`` and ``do statement while`` as one class each, from the inside out."""
+        while "E" in flat or "D" in flat:
+            new = _as(DO, self.rx["do"], _as(ELSE, self.rx["else"], flat))
+            if new == flat:
+                break
+            flat = new
+        return flat
+
     def _fits(self, role: str, flat: str) -> bool:
+        if role in STATEMENTS:
+            flat = self._paired(flat)
         return self.rx[role].fullmatch(flat) is not None
 
     def _group(self, kind: str, content: str) -> str:
@@ -408,9 +439,9 @@ class Grammar:
         wrap = {roles.char(0): (o, c) for o, c, roles in kinds}
         expand = {roles.char(0): [self.source[o + n] for n in roles.names] for o, c, roles in kinds}
         wrap[SUBST], expand[SUBST] = ("⟨", "⟩"), [self.source["⟨"]]
-        expand |= {FUNC: [self.source["func"]], ANON: [self.source["anon"]], BODY: [self.source["arrow_block"]], CLASS: [self.source["class"]], ARROW: [self.source["arrow"]], COND: [self.source["cond"]]}
+        expand |= {FUNC: [self.source["func"]], ANON: [self.source["anon"]], BODY: [self.source["arrow_block"]], CLASS: [self.source["class"]], ARROW: [self.source["arrow"]], COND: [self.source["cond"]], ELSE: [self.source["else"]], DO: [self.source["do"]]}
         if self.ts:
-            expand[GENERIC] = [self.source["generic"]]
+            expand |= {GENERIC: [self.source["generic"]], TYPE_ARROW: [self.source["type_arrow"]], TYPE_COND: [self.source["type_cond"]]}
         return Pairs(expand, wrap, [PAREN, BRACE, SQUARE]).derive([self.source["top"]])
 
 

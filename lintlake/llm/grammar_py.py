@@ -151,7 +151,8 @@ def productions() -> dict[str, str]:
         f"|G{name}(?:,{name})*|D{targets}|S{named}(?:,{a})?|M{dotted}{as_}(?:,{dotted}{as_})*|φ(?:[.l]*{dotted}|[.l]+)M(?:\\*|{names}|{_c(p('names'))})|τ{name}{_c(s('index'))}?={a})"
     )
     line = f"{simple}(?:;{simple})*;?"
-    pattern = f"(?:{star}(?:δ{name})?(?:,{star}(?:δ{name})?)*,?)"
+    piece = f"(?:\\*{name}|{named})"
+    pattern = f"(?:{piece}(?:δ{name})?(?:,{piece}(?:δ{name})?)*,?)"
     item = f"{a}(?:δ{target1})?"
     header = (
         f"(?:α?F{name}{_c(s('index'))}?{_c(p('params'))}(?:a{tests})?|K{name}{_c(s('index'))}?{_c(p('args'))}?|[IJW]{named}|E|Y|L|H\\*?(?:{tests}(?:δ{name})?)?"
