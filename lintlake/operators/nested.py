@@ -4,7 +4,8 @@
    structures, so mixed types at one place (an object here, a list there) lose nothing.
 2. ``elements`` explodes level after level along the merged schema, as columns of one narrow stage over VARIANT
    values: each level is made from its parent's level and carries the parent's path and the ordinal. No shuffle.
-3. ``child_tables`` gives one table per array with its scalar members, ``row_key`` and ``parent_key``.
+3. ``child_table`` gives one table per array with its scalar members, ``row_key`` and ``parent_key``; ``scalar_members``
+   has the scalars of every element of every array, known or not, as one long table.
 
 Defined cases: a payload that is null or not valid JSON has no rows; text after the JSON value makes it invalid;
 of members named twice the last counts; null elements keep their position but are no rows; a single object in place
@@ -14,6 +15,7 @@ of a root list is a list of one; a scalar in its place is nothing. A record sent
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -192,27 +194,139 @@ def nested_elements(df: DataFrame, id_col: str = "record_id", payload: str = "pa
     return rows.unionByName(_walk(df.where(big), id_col, payload, roots))
 
 
+class _Number(str):
+    """A number in the spelling of its payload."""
+
+
+def _load_exact(text: str | None):
+    """As ``_load``, but numbers keep their spelling."""
+    return None if _load(text) is None else json.loads(text, parse_float=_Number, parse_int=_Number)
+
+
+def _json(x) -> str:
+    """JSON text of a value of ``_load_exact``."""
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_json(y)}" for k, y in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_json, x)) + "]"
+    return str(x) if isinstance(x, _Number) else json.dumps(x)
+
+
+def _elements(value, roots: tuple[str, ...]) -> Iterator[tuple[str, str, int, str, object]]:
+    """(path, parent_path, ordinal, list_path, element) of every non-null element of a record."""
+    todo = [(x, name, "", name) for name, x in _roots(value, roots)]
+    while todo:
+        x, at, parent, general = todo.pop()
+        if isinstance(x, list):
+            for i, y in enumerate(x):
+                if y is not None:
+                    here = f"{at}[{i}]"
+                    yield here, parent, i, general + "[]", y
+                    if isinstance(y, list | dict):
+                        todo.append((y, here, here, general + "[]"))
+        else:
+            todo += [(y, f"{at}.{k}", parent, f"{general}.{k}") for k, y in x.items() if isinstance(y, list | dict)]
+
+
+def _scalars(x, at: str = "") -> Iterator[tuple[str, object]]:
+    """Scalars of an element outside its arrays, by member path; the element itself has the path ""."""
+    todo = [(x, at)]
+    while todo:
+        x, at = todo.pop()
+        if isinstance(x, dict):
+            todo += [(y, f"{at}.{k}" if at else k) for k, y in x.items()]
+        elif not isinstance(x, list):
+            yield at, x
+
+
+def _list_pattern(lists: list[str]) -> re.Pattern:
+    """``fields[]*`` in a generic path stands for that step once or more."""
+    steps = (re.sub(r"(\\\.\w+\\\[\\\])\\\*", r"(?:\1)+", re.escape(x)) for x in lists)
+    return re.compile("|".join(steps))
+
+
+def _walk_members(df: DataFrame, lists: re.Pattern, members: list[str], id_col: str, payload: str, roots: tuple[str, ...]) -> DataFrame:
+    """The rows of ``elements`` record by record; an element keeps only the first steps of the members asked for."""
+    kind = df.schema[id_col].dataType.simpleString()
+    columns = [id_col, "path", "parent_path", "ordinal", "elem"]
+    first = {m.split(".")[0] for m in members}
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for rid, text in zip(b[id_col], b[payload]):
+                for path, parent, i, general, x in _elements(_load_exact(text), roots):
+                    if lists.fullmatch(general):
+                        kept = {k: y for k, y in x.items() if k in first} if isinstance(x, dict) else [] if isinstance(x, list) else x
+                        out.append((rid, path, parent, i, _json(kept)))
+                        if len(out) > 50_000:
+                            yield pd.DataFrame(out, columns=columns)
+                            out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    rows = df.select(id_col, payload).mapInPandas(walk, f"{id_col} {kind}, path string, parent_path string, ordinal int, elem string")
+    return rows.withColumn("elem", F.try_parse_json("elem"))
+
+
+def _key(id_col: str, path: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.col(path)), 256)
+
+
+def _keys(id_col: str) -> list[Column]:
+    return [_key(id_col, "path").alias("row_key"), F.when(F.col("parent_path") != "", _key(id_col, "parent_path")).alias("parent_key")]
+
+
+def _member(path: str, kind: str) -> Column:
+    if path:
+        return F.try_variant_get("elem", "$" + "".join(f'["{x}"]' for x in path.split(".")), kind)
+    itself = F.schema_of_variant("elem")
+    return F.when(~(itself.startswith("OBJECT") | itself.startswith("ARRAY")), F.try_variant_get("elem", "$", kind))
+
+
 def child_table(df: DataFrame, lists: list[str], members: dict[str, str], id_col: str = "record_id", payload: str = "payload") -> DataFrame:
     """Flat table of the arrays whose generic path is in ``lists``: keys, ordinal and the named members.
 
-    ``members`` maps a member path such as ``sink.line`` to its SQL type; a member of another type is null.
+    ``fields[]*`` in a generic path is that step once or more. ``members`` maps a member path such as ``sink.line`` to
+    its SQL type, or to (type, column name); "" is an element that is itself a scalar. A member of another type is null.
     ``parent_key`` is the ``row_key`` of the row that held the element, null for rows of a root list.
+    Payloads and schemas that a VARIANT or a merged schema can't hold are walked record by record to the same rows.
     """
     roots = tuple(dict.fromkeys(x.split("[")[0].split(".")[0] for x in lists))
-    schema = merged_schema(df, payload, roots) or []
-    wanted = [p for p in schema if list_path(p) in lists]
-    need = [p for p in schema if any(w[: len(p)] == p for w in wanted)]
-    if not need:
-        need = [("." + roots[0], "")]
-    rows = elements(df, need, id_col, payload).where(F.col("list_path").isin(lists))
-
-    def key(path: str) -> Column:
-        return F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.col(path)), 256)
-
-    return rows.select(
-        id_col,
-        key("path").alias("row_key"),
-        F.when(F.col("parent_path") != "", key("parent_path")).alias("parent_key"),
-        "path", "parent_path", "ordinal",
-        *[F.try_variant_get("elem", "$" + "".join(f'["{s}"]' for s in m.split(".")), kind).alias(m.replace(".", "_")) for m, kind in members.items()],
-    )
+    pattern = _list_pattern(lists)
+    schema = merged_schema(df, payload, roots)
+    wanted = [p for p in schema or [] if pattern.fullmatch(list_path(p))]
+    need = [p for p in schema or [] if any(w[: len(p)] == p for w in wanted)]
+    if not need or not all(map(_speakable, need)):
+        rows = _walk_members(df, pattern, list(members), id_col, payload, roots)
+    else:
+        big = F.coalesce(F.length(payload) > MAX_VARIANT_CHARS, F.lit(False))
+        rows = elements(df.where(~big), need, id_col, payload).where(F.col("list_path").isin([list_path(p) for p in wanted])).drop("list_path")
+        rows = rows.unionByName(_walk_members(df.where(big), pattern, list(members), id_col, payload, roots))
+    named = {m: kind if isinstance(kind, tuple) else (kind, m.replace(".", "_")) for m, kind in members.items()}
+    return rows.select(id_col, *_keys(id_col), "path", "parent_path", "ordinal", *[_member(m, kind).alias(name) for m, (kind, name) in named.items()])
+
+
+def scalar_members(df: DataFrame, id_col: str = "record_id", payload: str = "payload", roots: tuple[str, ...] = ROOTS) -> DataFrame:
+    """One row per scalar of every element of every array under ``roots``, whatever the schema.
+
+    ``member`` is the path from the element ("" for an element that is itself a scalar), ``kind`` its JSON type and
+    ``value`` its text, null for JSON's null. One narrow scan without a merged schema.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    columns = [id_col, "path", "parent_path", "ordinal", "list_path", "member", "kind", "value"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for rid, text in zip(b[id_col], b[payload]):
+                for path, parent, i, general, x in _elements(_load_exact(text), roots):
+                    for member, y in _scalars(x):
+                        what = "null" if y is None else "boolean" if isinstance(y, bool) else "number" if isinstance(y, _Number) else "string"
+                        out.append((rid, path, parent, i, general, member, what, None if y is None else str(y).lower() if isinstance(y, bool) else str(y)))
+                    if len(out) > 50_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    rows = df.select(id_col, payload).mapInPandas(walk, f"{id_col} {kind}, path string, parent_path string, ordinal int, list_path string, member string, kind string, value string")
+    return rows.select(id_col, *_keys(id_col), "path", "parent_path", "ordinal", "list_path", "member", "kind", "value")

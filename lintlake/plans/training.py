@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,35 @@ def p2_dom_taint_findings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Arrays below the roots: generic paths and (SQL type, column) of each member; "" is an element that is itself a scalar.
+CHILDREN = {
+    "p2_graphql_fields": (["graphql_operations[].fields[]*"], {"name": ("string", "name"), "alias": ("string", "alias")}),
+    "p2_graphql_args": (["graphql_operations[].fields[]*.args[]"], {"name": ("string", "name"), "value": ("string", "value"), "value.gt": ("int", "value_gt")}),
+    "p2_graphql_variables": (["graphql_operations[].variables[]"], {"": ("string", "value"), "name": ("string", "name"), "type": ("string", "type")}),
+    "p2_graphql_directives": (["graphql_operations[].variables[].directives[]"], {"": ("string", "value")}),
+    "p2_object_access_evidence": (["object_access_candidates[].evidence[]"], {"kind": ("string", "kind")}),
+    "p2_object_access_lines": (["object_access_candidates[].evidence[].lines[]"], {"": ("int", "line")}),
+    "p2_object_access_properties": (["object_access_candidates[].sensitive_properties[]"], {"": ("string", "value")}),
+    "p2_dom_taint_steps": (["dom_taint_findings[].trace.steps[]"], {"line": ("int", "line")}),
+    "p2_dom_taint_names": (["dom_taint_findings[].trace.steps[].names[]"], {"": ("string", "value")}),
+    # members of the root rows that their tables lack, by the same row_key
+    "p2_root_members": ([f"{x}[]" for x in nested.ROOTS], {"source_url": ("string", "source_url"), "trace.variable_bridge": ("string", "variable_bridge")}),
+}
+
+
+def _child(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.child_table(table(spark, d, "scan_results").select("record_id", "payload"), *CHILDREN[name])
+
+    query.__name__ = name
+    return query
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """Scalars of every element of every array, also of arrays that have no table of their own."""
+    return nested.scalar_members(table(spark, d, "scan_results").select("record_id", "payload"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return format_dedup.duplicate_endpoints(table(spark, d, "endpoints"))
 
@@ -58,7 +89,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_diff_counts, p2_found, p2_graphql_operations, p2_object_access_candidates, p2_dom_taint_findings,
-        p4_found, p4_collapsed,
+        *map(_child, CHILDREN), p2_members, p4_found, p4_collapsed,
     )
 }
 
@@ -168,3 +199,19 @@ ORACLES = {
     "p4_found": _P4 + "select first_endpoint_id, endpoint_id from grouped where endpoint_id <> first_endpoint_id",
     "p4_collapsed": _P4 + "select first_endpoint_id, copies from grouped where endpoint_id = first_endpoint_id",
 }
+
+
+def _p2_below(lists: list[str], members: dict[str, tuple[str, str]]) -> str:
+    """Rows of the arrays at generic paths, with the link to the row that held them."""
+    paths = "|".join(re.sub(r"((?:^|\.)\w+)\[\](\*?)", lambda m: f"({m[1]}[[]\\d+[]])" + ("+" if m[2] else ""), x).replace(".", "[.]") for x in lists)
+    cols = ", ".join(
+        f"try_cast(case when {'json_type(node) not in (' + chr(39) + 'OBJECT' + chr(39) + ', ' + chr(39) + 'ARRAY' + chr(39) + ')' if not m else 'true'} then json_extract_string(node, '$" + ("." + m if m else "") + f"') end as {'int' if kind == 'int' else 'varchar'}) as {name}"
+        for m, (kind, name) in members.items()
+    )
+    return _P2 + f"""
+select record_id, sha256(record_id || '|' || path) as row_key, case when parent_path <> '' then sha256(record_id || '|' || parent_path) end as parent_key, path, parent_path,
+  cast(regexp_extract(path, '\\[(\\d+)\\]$', 1) as int) as ordinal, {cols}
+from walk where is_element and json_type(node) <> 'NULL' and regexp_matches(path, '^({paths})$')"""
+
+
+ORACLES |= {name: _p2_below(*x) for name, x in CHILDREN.items()}
