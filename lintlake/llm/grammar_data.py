@@ -67,7 +67,7 @@ class JsonGrammar:
 
 # YAML tokens, one line of text being one or more of them: indentation is written as a number of ">" after a line end.
 #   - ? :  indicators of entries, keys and values     s quoted scalar    t plain scalar    b block scalar
-#   f flow collection    * alias    & anchor or tag    = document start or end    % directive
+#   [ ] { } , flow collections, f and g as wholes    T S scalars over several lines    * alias    & anchor or tag    = document start or end    % directive
 _PLAIN_STOP = re.compile(r":(?=[ \t]|$)|[ \t]#")
 _QUOTED = re.compile(r"'(?:[^']|'')*+'|\"(?:[^\"\\]|\\[\s\S])*+\"")
 _BLOCK = re.compile(r"[|>](?:[1-9][+-]?|[+-][1-9]?)?[ \t]*(?:(?<=[ \t])#.*)?$")
@@ -76,36 +76,79 @@ _ALIAS = re.compile(r"\*[^\s\[\]{},]+(?=[ \t]|$|,)")
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?![0abt\tnvfre \"/\\N_LP\n\r]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})")
 
 
-def _flow_end(text: str, at: int) -> int:
-    """Place after the flow collection that starts at ``at``, or -1; its brackets and quotes must match."""
+_FLOW_SPACE = re.compile(r"(?:[ \t\n]+|#[^\n]*)+")
+_FLOW_CHAR = r"(?:[^\s,\[\]{}:#]|:(?![\s,\[\]{}]|\Z)|(?<=\S)#)"
+_FLOW_PLAIN = re.compile(r"(?![-?:](?:[\s,\[\]{}]|\Z))[^\s,\[\]{}#&*!|>'\"%@`]" + _FLOW_CHAR + r"*+(?:\s++(?!#)" + _FLOW_CHAR + "++)*+")
+_FLOW_PROPERTY = re.compile(r"(?:&[^\s\[\]{},]+|!(?:<[^>\s]*>|[^\s\[\]{},]*))(?=[\s,\[\]{}]|\Z)")
+
+
+def _flow(text: str, at: int) -> tuple[str, int, str]:
+    """(tokens, place after it, error or "") of the flow collection that starts at ``at``.
+
+    T and S are scalars over several lines; other classes are as in a block.
+    """
+    out: list[str] = []
     stack: list[str] = []
     n = len(text)
     while at < n:
+        m = _FLOW_SPACE.match(text, at)
+        if m:
+            if re.search(r"\n(?:---|\.\.\.)(?:\s|\Z)", text[at : m.end() + 4]):
+                return "", at, "document mark in a flow collection"
+            at = m.end()
+            continue
         ch = text[at]
         if ch in "[{":
             stack.append(ch)
+            out.append(ch)
+            at += 1
         elif ch in "]}":
             if stack.pop() + ch not in ("[]", "{}"):
-                return -1
+                return "", at, "bracket without its partner"
+            out.append(ch)
+            at += 1
             if not stack:
-                return at + 1
-        elif ch in "'\"" and text[at - 1] in "[{,: \t\n":
+                return "".join(out), at, ""
+        elif ch == ",":
+            out.append(ch)
+            at += 1
+        elif ch in "'\"":
             m = _QUOTED.match(text, at)
             if not m:
-                return -1
+                return "", at, "quoted scalar is not closed"
+            if ch == '"' and "\\" in m.group() and _BAD_ESCAPE.search(m.group()[1:-1]):
+                return "", at, "escape in a quoted scalar"
+            out.append("S" if "\n" in m.group() else "s")
             at = m.end()
-            continue
-        elif ch == "#" and text[at - 1] in " \t\n":
-            at = text.find("\n", at)
-            if at < 0:
-                return -1
-            continue
-        at += 1
-    return -1
+        elif ch == ":" and (out[-1] in "sS]}" and text[at - 1] in "'\"]}" or at + 1 == n or text[at + 1] in " \t\n,[]{}"):
+            out.append(":")
+            at += 1
+        elif ch == "?" and (at + 1 == n or text[at + 1] in " \t\n,[]{}"):
+            out.append("?")
+            at += 1
+        elif ch in "&!":
+            m = _FLOW_PROPERTY.match(text, at)
+            if not m:
+                return "", at, "anchor or tag"
+            out.append("&")
+            at = m.end()
+        elif ch == "*":
+            m = re.compile(r"\*[^\s\[\]{},]+").match(text, at)
+            if not m:
+                return "", at, "alias"
+            out.append("*")
+            at = m.end()
+        else:
+            m = _FLOW_PLAIN.match(text, at)
+            if not m:
+                return "", at, f"character {ch!r} starts no scalar"
+            out.append("T" if "\n" in m.group() else "t")
+            at = m.end()
+    return "", at, "flow collection is not closed"
 
 
 def lex_yaml(text: str) -> tuple[str, str]:
-    """(tokens, error or ""). Scalars and flow collections over several lines are one token."""
+    """(tokens, error or ""). Scalars over several lines are one token."""
     if text[:1] == "﻿":
         text = text[1:]
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -202,11 +245,10 @@ def lex_yaml(text: str) -> tuple[str, str]:
                 return "".join(out), "text after a quoted scalar"
             continue
         if ch in "[{":
-            e = _flow_end(text, at)
-            if e < 0:
-                return "".join(out), "flow collection is not closed"
-            out.append("f")
-            at = e
+            inside, at, error = _flow(text, at)
+            if error:
+                return "".join(out), error
+            out.append(inside)
             continue
         if ch in "&!" and (m := _PROPERTY.match(text, at, end)):
             out.append("&")
@@ -255,12 +297,39 @@ class YamlGrammar:
     line = re.compile(r"(?P<entries>(?:[-?]<>*)*)(?P<props>&*)(?P<node>[sStf*]?)(?P<c1>#?)(?P<key>:?)(?P<more>.*)", re.S)
     value = re.compile(r"&{0,2}(?:[sStf*b]#?|-<>*.*)?")
     #: The order of tokens within a line, without columns.
-    tokens = "(?:=?%?(?:[-?])*:?(?:[-?])*&{0,2}(?:[sStf*]#?|b)?(?::&{0,2}(?:[sStf*]#?|b|-)?)?)"
+    tokens = "(?:=?%?(?:[-?])*:?(?:[-?])*&{0,2}(?:[sStfg*]#?|b)?(?::&{0,2}(?:[sStfg*]#?|b|-)?)?)"
+    #: Contents of flow collections: nodes and pairs with commas between; the key of a pair in a list stands on one line.
+    _node = r"(?:&{0,2}[sStTfg]|\*|&{1,2})"
+    _pair = rf"(?:\?{_node}?(?::{_node}?)?|:{_node}?"
+    _listed = [_pair + rf"|{_node}|(?:&{{0,2}}[stfg]|\*|&{{1,2}}):{_node}?)", _pair + rf"|{_node}(?::{_node}?)?)"]
+    flow = {k: f"(?:{x}(?:,{x})*,?)?" for k, x in zip("[{", _listed)}
+    flow_rx = {k: re.compile(x) for k, x in flow.items()}
 
     def pairs(self) -> set[tuple[str, str]]:
-        return Pairs({}, {}).derive([self.tokens])
+        return Pairs({"f": [self.flow["["]], "g": [self.flow["{"]]}, {"f": ("[", "]"), "g": ("{", "}")}).derive([self.tokens])
+
+    def _flat(self, tokens: str) -> str | None:
+        """Flow collections as one class each, from the inside out; None if the contents of one fit no production."""
+        stack: list[tuple[str, list[str]]] = []
+        here: list[str] = []
+        for ch in tokens:
+            if ch in "[{":
+                stack.append((ch, here))
+                here = []
+            elif ch in "]}":
+                kind, outer = stack.pop()
+                if not self.flow_rx[kind].fullmatch("".join(here)):
+                    return None
+                here = outer
+                here.append("f" if kind == "[" or not stack else "g")
+            else:
+                here.append(ch)
+        return "".join(here)
 
     def fault(self, tokens: str) -> str:
+        tokens = self._flat(tokens)
+        if tokens is None:
+            return "contents of a flow collection"
         stack: list[list] = []  # [indent, kind, waiting for a value, after a "?"]
         text_open = -1  # a plain scalar that deeper lines may continue: they must be deeper than this
         done = False  # the document's root is complete

@@ -25,13 +25,43 @@ _TOKEN = re.compile(
     r"|(?P<name>[^\W\d]\w*)"
     r"|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|\*\*|//|>>|<<|<=|>=|==|!=|[-+*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=])"
 )
+_FORMATTED = re.compile(r"(?:([rR])[fFtT]|[fFtT]([rR]?))(\"\"\"|\'\'\'|\"|\')")
+_CONVERSION = re.compile(r"![ \t]*[rsa]\s*(?=[:}])")
 _PREFIXES = {"", "r", "b", "u", "f", "t", "rb", "br", "fr", "rf", "tr", "rt"}
 
 
+def _literal(text: str, at: int, quote: str, raw: bool, spec: bool) -> tuple[int, str]:
+    """Place after the next literal part of a formatted string, and what ends it: { a field, } the field of a
+    format specification, the quote, or "" where the string is broken."""
+    n = len(text)
+    while at < n:
+        ch = text[at]
+        if ch == "\\":
+            if not raw and text.startswith("N{", at + 1):
+                at = text.find("}", at) + 1
+                if not at:
+                    return n, ""
+            else:
+                at += 1 if text[at + 1 : at + 2] in ("{", "}") else 2
+        elif text.startswith(quote, at):
+            return at + len(quote), "" if spec else quote
+        elif ch in "{}":
+            if not spec and text[at + 1 : at + 2] == ch:
+                at += 2
+            else:
+                return at + 1, ch if ch == "{" or spec else ""
+        elif ch in "\r\n" and len(quote) == 1:
+            return at, ""
+        else:
+            at += 1
+    return n, ""
+
+
 def lex(text: str) -> tuple[str, str]:
     """(token classes, error or ""): line ends outside brackets, and a class for each step of indentation."""
     out: list[str] = []
     stack: list[str] = []
+    fields: list[tuple[str, bool, bool]] = []  # for each open field of a formatted string: quote, raw, in a specification
     levels = [""]
     at, n, start = 0, len(text), True
     if text[:1] == "﻿":
@@ -57,6 +87,39 @@ def lex(text: str) -> tuple[str, str]:
                         return "".join(out), "indentation"
             start = False
             continue
+        part = None  # formatted string whose literal text goes on at this place
+        m = _FORMATTED.match(text, at)
+        if m:
+            out.append("s")
+            at, part = m.end(), (m.group(3), bool(m.group(1) or m.group(2)), False)
+        elif stack and stack[-1] == "⟨" and text[at] in "}:!=":
+            if text[at] == "}":
+                stack.pop()
+                out.append("⟩")
+                at, part = at + 1, fields.pop()
+            elif text[at] == ":":
+                out.append(":")
+                at, part = at + 1, (*fields[-1][:2], True)
+            elif m := _CONVERSION.match(text, at) or re.compile(r"=\s*(?=[!:}](?!=))").match(text, at):
+                out.append(text[at])
+                at = m.end()
+                continue
+        while part:
+            at, what = _literal(text, at, *part)
+            if not what:
+                return "".join(out), "formatted string is not closed"
+            if what == "{":
+                out.append("⟨")
+                stack.append("⟨")
+                fields.append(part)
+                break
+            if what != "}":
+                break
+            stack.pop()
+            out.append("⟩")
+            part = fields.pop()
+        if part:
+            continue
         m = _TOKEN.match(text, at)
         if not m:
             return "".join(out), f"character {text[at]!r}"
@@ -117,7 +180,7 @@ def lex(text: str) -> tuple[str, str]:
 PAREN = Roles(0xE000, ["args", "params", "value", "names", "target"])
 BRACE = Roles(0xE100, ["value"])
 SQUARE = Roles(0xE200, ["value", "index", "target"])
-COND, LAMBDA = chr(0xE400), chr(0xE401)
+COND, LAMBDA, FIELD = chr(0xE400), chr(0xE401), chr(0xE402)
 
 
 def _c(*cs: str) -> str:
@@ -127,7 +190,7 @@ def _c(*cs: str) -> str:
 def productions() -> dict[str, str]:
     p, b, s = PAREN.having, BRACE.having, SQUARE.having
     name = _c(IDS)
-    primary = f"(?:{name}|0|s++|l|{_c(p('value'))}|{_c(b('value'))}|{_c(s('value'))})"
+    primary = f"(?:{name}|0|(?:s{FIELD}*+)++|l|{_c(p('value'))}|{_c(b('value'))}|{_c(s('value'))})"
     suffix = f"(?:\\.{name}|{_c(p('args'))}|{_c(s('index'))})"
     u = f"(?:[+~Nω{LAMBDA}]*{primary}{suffix}*+)"
     bin_ = f"(?:[op+*/@n{COND}]|Nn|ιN?)"
@@ -163,7 +226,7 @@ def productions() -> dict[str, str]:
         "(names": names, "(target": f"{targets}?",
         "{value": f"(?:(?:{named}:{a}|p{a})(?:,(?:{named}:{a}|p{a}))*,?|{tests}|{named}(?::{a})?{comp}+)?",
         "[value": f"(?:{tests}|{named}{comp}+)?", "[index": f"{slice_}(?:,{slice_})*,?", "[target": f"{targets}?",
-        "cond": f"I{a}E", "lambda": f"Λ(?:{param}(?:,{param})*,?)?:",
+        "⟨": f"{value}=?!?(?::{FIELD}*)?", "cond": f"I{a}E", "lambda": f"Λ(?:{param}(?:,{param})*,?)?:",
         "simple": line, "decorator": f"@{named}", "header": f"{header}:", "inline": f"{header}:{line}",
     }
 
@@ -188,6 +251,8 @@ class Grammar:
 
     def _group(self, kind: str, content: str) -> str:
         flat = self._flat(content)
+        if kind == "⟨":
+            return FIELD if self.rx["⟨"].fullmatch(flat) else ""
         roles = {"(": PAREN, "{": BRACE, "[": SQUARE}[kind]
         mask = sum(1 << k for k, name in enumerate(roles.names) if self.rx[kind + name].fullmatch(flat))
         return roles.char(mask) if mask else ""
@@ -210,10 +275,10 @@ class Grammar:
         # a frame for each level of indentation: clause before, whether a suite must follow
         clause, need, deco = [""], False, False
         for ch in tokens:
-            if ch in "([{":
+            if ch in "([{⟨":
                 stack.append((ch, here))
                 here = []
-            elif ch in ")]}":
+            elif ch in ")]}⟩":
                 kind, outer = stack.pop()
                 got = self.group(kind, "".join(here))
                 if not got:
@@ -261,6 +326,7 @@ class Grammar:
         kinds = (("(", ")", PAREN), ("{", "}", BRACE), ("[", "]", SQUARE))
         wrap = {r.char(0): (o, c) for o, c, r in kinds}
         expand = {r.char(0): [self.source[o + n] for n in r.names] for o, c, r in kinds}
+        wrap[FIELD], expand[FIELD] = ("⟨", "⟩"), [self.source["⟨"]]
         expand |= {COND: [self.source["cond"]], LAMBDA: [self.source["lambda"]]}
         return Pairs(expand, wrap, [PAREN, BRACE, SQUARE]).derive([self.source[x] for x in ("simple", "decorator", "header", "inline")])
 

@@ -134,3 +134,32 @@ def test_statements_and_types_that_nest(lang, text):
 ])
 def test_lost_branches_and_literals_are_flagged(lang, text):
     assert fault(lang, text)
+
+
+FLOW = [
+    "a: [1, 2, ]", "a: {b: c, d, ? e : f, g: , }", "a: [x: y, \"k\":v, {m: [n]}: o]", "a: [p\n  q, 'r\n  s'] # c", "a: {p\n  q: r}", "a: {{ x }}", "[]: {}", "a: [&x b, *x , !t c, !!str 'd', http://e:1/f#g, -1, a - b ? c]", "- {a: b}\n- [c]", "a: [\n  b, # c\n  d\n  ]",
+]
+NO_FLOW = ["a: [1, , 2]", "a: {b: c: d}", "a: {x: \"p\" \"q\"}", "a: [,]", "a: [- b]", "a: [b\n  c: d]", "a: {b: [c}]", "a: [@b]", "a: {b: \"\\q\"}", "a: [*x y]", "a: [b # c\n  d]"]
+FIELDS = ["f'{a!r:>{w}}' f'{{x}}'", "f'{a[\"b\"]}' 'c'", "f'{x[1:2]} {y:%H:%M} {z=} {z = !s:^5}'", "rf'\\{x}' + f'\\N{BULLET}{y}'", 'f"""{\n a\n}\n{f\'{b}\'}"""', "f'{(lambda x: 1)}{yield_ if a else b}{*c, d}'", "f'{a != b}{c:{d}{e}}{f\'{g}\'}'", "f'{x:{{1}}}'"]
+NO_FIELDS = ["f'{a b}'", "f'{'", "f'{}'", "f'}'", "f'{a!x}'", "f'{a:{b c}}'", "f'{a'", "f'{a + }'", "f'{lambda x: 1}'", "f'{a:{}}'", "f'{f\"{b c}\"}'"]
+
+
+@pytest.mark.parametrize("text", FLOW)
+def test_yaml_flow_contents_that_fit(text):
+    assert fault("yaml", text + "\n") == ""
+
+
+@pytest.mark.parametrize("text", NO_FLOW)
+def test_yaml_flow_contents_that_do_not_fit(text):
+    assert fault("yaml", text + "\n")
+
+
+@pytest.mark.parametrize("text", FIELDS + NO_FIELDS)
+def test_fields_of_formatted_strings_against_ast(text):
+    try:
+        ast.parse("x = " + text)
+        ok = True
+    except SyntaxError:
+        ok = False
+    assert ok == (text in FIELDS)
+    assert (fault("py", "x = " + text + "\n") == "") == ok
