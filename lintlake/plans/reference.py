@@ -621,6 +621,43 @@ def graph_stats(spark, d):
     return R.graph_stats(*_graph(spark, d))
 
 
+def _full_graph(spark, d):
+    """All five families of findings; a source whose body is here is a bundle."""
+    e, s = table(spark, d, "endpoints"), table(spark, d, "snapshot_secrets")
+    docs = documents(spark, d)
+    key = lambda *c: F.concat_ws(":", *[F.coalesce(x, F.lit("")) for x in c])
+    return R.graph(
+        docs,
+        {
+            "endpoint": (e, key("pattern_name", "value", "source_url"), "contains"), "secret": (s, key("secret_type", "partial_hash", "source_url"), "contains"),
+            "subdomain": (E.subdomains(docs, SCOPE.bases, S.decide(SCOPE)), key("domain", "source_url"), "references"),
+            "parameter": (E.parameters(docs), key("name", "source_url"), "contains"), "dom_finding": (E.dom_findings(docs), key("sink_pattern", "source_url"), "contains"),
+        },
+    )
+
+
+_ALL_FOUND = f"""(select *, 'contains' as relation from {_FOUND}
+union select 'subdomain', 'subdomain:' || domain || ':' || source_url, source_url, 'references' from ({ORACLES['subdomains']})
+union select 'parameter', 'parameter:' || name || ':' || source_url, source_url, 'contains' from ({ORACLES['parameters']})
+union select 'dom_finding', 'dom_finding:' || sink_pattern || ':' || source_url, source_url, 'contains' from ({ORACLES['dom_findings']}))"""
+_ALL_NODES = f"""select 'source:' || u as id, min(k) as kind from (select url as u, 'bundle' as k from docs union select source_url, 'url' from {_ALL_FOUND}) where u is not null group by 1 union all select distinct id, kind from {_ALL_FOUND}"""
+
+
+@query(_ALL_NODES)
+def graph_full_nodes(spark, d):
+    return _full_graph(spark, d)[0]
+
+
+@query(f"select 'source:' || source_url as source, id as target, relation from {_ALL_FOUND} where source_url is not null")
+def graph_full_edges(spark, d):
+    return _full_graph(spark, d)[1]
+
+
+@query(f"select count(*) as node_count, (select count(*) from {_ALL_FOUND} where source_url is not null) as edge_count, count(*) filter (kind = 'bundle') as bundle_count from ({_ALL_NODES})")
+def graph_full_stats(spark, d):
+    return R.graph_stats(*_full_graph(spark, d))
+
+
 @query(
     """select coalesce(a.value, b.value) as value, case when b.value is null then 'left_only' when a.value is null then 'right_only' else 'both' end as side
 from (select distinct value from endpoints) a full join (select distinct value from snapshot_endpoints) b on a.value = b.value"""
@@ -645,11 +682,11 @@ def response_diff(spark, d):
 
 @query()
 def interest_score(spark, d):
-    docs = documents(spark, d)
+    eps, more, params, docs = _object_inputs(spark, d)
     return R.interest_scores(
         {
             "secrets": table(spark, d, "snapshot_secrets"), "entropy": E.entropy_tokens(docs), "auth": E.auth_findings(docs), "dom": E.dom_taint(docs), "proto": E.proto_pollution(docs),
-            "graphql": E.graphql_operations(docs), "parameters": E.parameters(docs),
+            "graphql": E.graphql_operations(docs), "parameters": E.parameters(docs), "object_access": R.object_access(eps.unionByName(more), params, docs),
         }
     )
 
