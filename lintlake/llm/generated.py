@@ -95,8 +95,9 @@ def repair(seq: list) -> tuple[int, list[tuple[int, int]], list[int]]:
     return len(rules), rules, [length[x] for x in a]
 
 
-def lex(text: str, py: bool) -> tuple[list[str], list[str], list[str], int]:
-    """(token classes, exact tokens, literals, characters in comments)."""
+def lex(text: str, py: bool, remarks: list[str] | None = None) -> tuple[list[str], list[str], list[str], int]:
+    """(token classes, exact tokens, literals, characters in comments); ``remarks`` takes comments and leading docstrings."""
+    said = [] if remarks is None else remarks
     classes, exact, literals, comments = [], [], [], 0
     at, n = 0, len(text)
     match = _TOKEN.search
@@ -117,7 +118,10 @@ def lex(text: str, py: bool) -> tuple[list[str], list[str], list[str], int]:
             at = m.start() + 1
         if kind in ("comment", "hash"):
             comments += len(x)
+            said.append(x)
         elif kind in ("string", "long"):
+            if kind == "long" and not set(classes) - {"s"}:
+                said.append(x)
             classes.append("s")
             exact.append(x.strip("\"'`"))
             literals.append(x)
@@ -150,7 +154,7 @@ def phrases(exact: list[str]) -> list[int]:
 def measure(text: str, ext: str, library: frozenset[int] | set[int] = frozenset()) -> dict[str, float]:
     """What the decision rests on."""
     py = ext == "py"
-    classes, exact, literals, comments = lex(text, py)
+    classes, exact, literals, comments = lex(text, py, remarks := [])
     n = len(classes)
     rules, used, top = repair(classes)
     code = max(1, len(text) - comments)
@@ -173,7 +177,7 @@ def measure(text: str, ext: str, library: frozenset[int] | set[int] = frozenset(
         "space": space / max(1, len(text)),
         "short": sum(len(x) <= 2 for x in names) / max(1, len(names)),
         "shared": covered / max(1, len(exact)),
-        "banner": float(BANNER.search(text[:1500]) is not None),
+        "banner": float(BANNER.search(text[:1500]) is not None or any(map(BANNER.search, remarks))),
         "page": float(text.lstrip("﻿ \t\r\n")[:1] == "<"),
     }
 

@@ -74,3 +74,13 @@ def test_libraries_in_blocks(spark, monkeypatch):
     files = spark.createDataFrame([(1, "r", "a.js", HAND, None)], "file_id bigint, repo string, url string, content string, r boolean")
     libs = spark.createDataFrame([(i, "js", HAND if i == 2 else f"var a{i} = {i};") for i in range(4)], "lib_id bigint, lang string, content string")
     assert [tuple(r) for r in G.classified(files, libs).collect()] == [(1, "vendored")]
+
+
+def test_banner_after_a_long_licence():
+    code = HAND + "".join(f"export const f{i} = (a) => call({i}, a)\n" for i in range(8))
+    banner, licence = "Code generated by protoc-gen-x. DO NOT EDIT.", "Licensed as it stands, without warranty of any kind.\n"
+    assert G.measure(code, "js")["reuse"] >= 0.4 and why(code) == ""
+    for head in ("// " + licence) * 60 + "// " + banner + "\n", "/*\n" + licence * 60 + banner + "\n*/\n":
+        assert len(head) > 3000 and why(head + code) == "generated"
+    assert why(("// " + licence) * 60 + code + f"\nwrite('// {banner}')\n") == ""  # a generator's own literal
+    assert G.measure(("# " + licence) * 60 + f'"""{banner}"""\nx = 1\n', "py")["banner"] == 1.0
