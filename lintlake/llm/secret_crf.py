@@ -210,9 +210,50 @@ class Maker:
         return text + value + right + post, [span] if secret else [], names
 
 
-def labelled(count: int, seed: int) -> list[tuple[list[list[int]], list[int]]]:
+class PlaceMaker(Maker):
+    """Examples of credentials in paths and fragments of URLs and of long tokens, and of what else stands there."""
+
+    def example(self) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+        r = self.r
+        upper, alnum, hexa = string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, "0123456789abcdef"
+        host = f"https://{r.choice(['api', 'hooks', 'cdn', self.noun()])}.{self.noun()}.{r.choice(['com', 'example', 'internal', 'org'])}/"
+        secret, tail = r.random() < 0.5, ""
+        if secret and r.random() < 0.25:
+            head, value = "", ".".join(self.text(alnum + "-_", n, n + 90) for n in (30, r.randint(120, 500), r.randint(43, 342)))
+            value = "eyJ" + value
+            name = r.choice(["token", "accessToken", "idToken", "authorization", self.neutral()])
+            left = r.choice([f"const {name} = '", f"{name}: \"Bearer ", f'"{name}": "', f"{name} = '"])
+        else:
+            left = r.choice([f"const {self.neutral()} = '", f"fetch('", f'"url": "', f"url: '", f"curl '", f"post(\"", f"// see "])
+            formed = lambda: self.value(r.choice(["aws_access_key", "github_token", "stripe_live_key", "google_api_key", "npm_token", "gitlab_token"]))
+            if secret:
+                head, value, tail = r.choice([
+                    lambda: (f"services/T{self.text(upper, 8, 10)}/B{self.text(upper, 8, 10)}/", self.text(alnum, 24), ""), lambda: (f"bot{r.randint(10**8, 10**10)}:", self.text(alnum + "-_", 35), r.choice(["", "/sendMessage", "/getUpdates"])),
+                    lambda: (f"api/webhooks/{r.randint(10**17, 10**18)}/", self.text(alnum + "-_", 64, 68), ""), lambda: (f"{r.choice(['keys', 'token', 'v1', self.noun()])}/", formed(), r.choice(["", "/use", "?x=1"])),
+                    lambda: (f"{self.noun()}/", formed(), ""),
+                    lambda: (f"{r.choice(['', 'cb', 'login/done'])}#{r.choice(['access_token', 'id_token', 'token'])}=", r.choice([self.jwt, formed, lambda: self.value('token')])(), r.choice(["", "&state=x1", "&token_type=bearer"])),
+                ])()
+            else:
+                value = r.choice([
+                    lambda: f"{self.noun()}/{self.text(hexa, 8)}-{self.text(hexa, 4)}-{self.text(hexa, 4)}-{self.text(hexa, 4)}-{self.text(hexa, 12)}", lambda: f"{self.noun()}/commit/{self.text(hexa, 40)}", lambda: f"static/{self.noun()}.{self.text(hexa, 8, 20)}.{r.choice(['js', 'css', 'png'])}",
+                    lambda: f"{self.noun()}-{self.noun()}/{r.randint(1, 10**6)}-{self.noun()}", lambda: f"v{r.randint(1, 4)}/{self.noun()}#{self.noun()}-{r.randint(1, 9)}-{self.noun()}", lambda: f"{self.noun()}/blob/main/{self.noun()}_{self.noun()}{r.randint(1, 99)}.ts#L{r.randint(1, 900)}-L{r.randint(1, 900)}",
+                    lambda: f"{self.noun()}@{r.randint(1, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}/dist/{self.noun()}.min.js", lambda: f"services/T{self.text(upper, 8, 10)}/B{self.text(upper, 8, 10)}", lambda: f"#/{self.noun()}/:{self.noun()}Id/{self.noun()}2024", lambda: f"keys/{{{self.noun()}Id}}/{self.noun()}#state=x1y2",
+                    lambda: f"{self.noun()}/{self.text(hexa, 24, 32)}", lambda: f"{self.noun()}/{self.text(hexa, 64)}/raw", lambda: f"cb#token=${{{self.noun()}}}",
+                ])()
+                head = ""
+            head = host + head
+        text = left + head
+        right = "'" if "'" in left else '"' if '"' in left else "\n"
+        return text + value + tail + right + r.choice(["", ";\n", ")\n", ",\n"]), [(len(text), len(text) + len(value))] if secret else [], []
+
+
+#: Of so many examples one is of a place or length that ``Maker`` has not; they come on top of the others.
+PLACES = 9
+
+
+def labelled(count: int, seed: int, maker: type[Maker] = Maker) -> list[tuple[list[list[int]], list[int]]]:
     """Windows of generated examples as feature slots and labels."""
-    maker, out = Maker(seed), []
+    maker, out = maker(seed), []
     for _ in range(count):
         text, secrets, names = maker.example()
         ends, announce = {s[1]: s for s in secrets}, {n: 1 for n in names}
@@ -325,4 +366,4 @@ def train(data: list[tuple[list[list[int]], list[int]]], passes: int = PASSES, r
 @lru_cache(4)
 def model(examples: int = EXAMPLES, seed: int = 7) -> Crf:
     """The trained labeller; the same for the same parameters."""
-    return train(labelled(examples, seed))
+    return train(labelled(examples, seed) + labelled(examples // PLACES, seed, PlaceMaker))

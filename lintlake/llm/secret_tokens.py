@@ -162,7 +162,7 @@ def _url(text: str, at: int, out: list[Token], quote: str, add) -> int:
         if len(t) == 1 and t in "/?#&=:@":
             if t == "/" and kind == "host":
                 kind = "path"
-            elif t in "?&":
+            elif t in "?&#":
                 kind = "param"
             elif t == "=" and kind == "param":
                 kind = "value"
@@ -200,7 +200,7 @@ _CLASSES = (
     ("hex32", re.compile(r"[0-9a-f]{32}")), ("hex40", re.compile(r"[0-9a-f]{40}")), ("hex64", re.compile(r"[0-9a-f]{64}")),
     ("hex", re.compile(r"[0-9a-f]{12,}")), ("uuid", re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)),
     ("hash", re.compile(r"(?:sha\d+|md5)[-:].*")), ("licence", re.compile(r"(?:[A-Z0-9]{4,6}-){2,}[A-Z0-9]{4,6}")),
-    ("wordmark", re.compile(r"[A-Za-z]{3,}[!#%&*@+._x-][A-Za-z]{3,}\d{1,6}")), ("wordyear", re.compile(r"[A-Za-z]{3,}\d{2,5}[!#%*@x_.]?")),
+    ("wordmark", re.compile(r"(?=[A-Za-z]++(?:[!#%&*@+._-][A-Za-z]++)?\d{1,6}\Z)[A-Za-z]{3,}[!#%&*@+._x-][A-Za-z]{3,}\d{1,6}")), ("wordyear", re.compile(r"[A-Za-z]{3,}\d{2,5}[!#%*@x_.]?")),
     ("wordhex", re.compile(r"[a-z]{3,}[._-][0-9a-f]{4,8}")), ("base64", re.compile(r"[A-Za-z0-9+/]{12,}={1,2}")),
     ("base64_40", re.compile(r"[A-Za-z0-9+/]{40}")), ("url64", re.compile(r"[\w-]{24,}")), ("rooted", re.compile(r"/.*")), ("ticket", re.compile(r"[A-Z]{1,6}-\d{1,6}")), ("piped", re.compile(r".*\|\d+")),
     ("slashes", re.compile(r"[\w.-]+(?:/[\w.-]+)+")), ("name", re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*")),
@@ -214,7 +214,9 @@ def own_features(text: str) -> tuple[str, ...]:
     """Features of a value's own shape."""
     n = len(text)
     if n > 400:
-        return ("long", "pem=" + (re.match(r"-----BEGIN ([A-Z0-9 ]+)", text) or ["", "none"])[1]) if text.startswith("-----BEGIN") else ("long",)
+        if text.startswith("-----BEGIN"):
+            return ("long", "pem=" + (re.match(r"-----BEGIN ([A-Z0-9 ]+)", text) or ["", "none"])[1])
+        return ("long", *[f"long_class={k}" for k, rx in _CLASSES if rx.fullmatch(text)], *[f"format={k}" for k, rx in _FORMATS.items() if rx.fullmatch(text)])
     if text.startswith("-----BEGIN"):
         return ("pem=" + text[11 : text.index("-----", 11)],) + (("private",) if "PRIVATE" in text[:50] else ("public",))
     classes = [k for k, rx in _CLASSES if rx.fullmatch(text)]
@@ -285,12 +287,16 @@ def _announced(name: Token, value: Token) -> bool:
     return len(value.text) >= SHORTEST and value.before[-1:] in ("=", ":", ",") and not ANNOUNCING.isdisjoint(name_parts(name.text))
 
 
+def _has_format(text: str) -> bool:
+    return any(rx.fullmatch(text) for rx in _FORMATS.values())
+
+
 def windows(ts: list[Token], reach: int = 3) -> Iterator[list[Token]]:
     """Runs of tokens from ``reach`` before each value that could be a credential to one after it."""
     last = -1
     run: list[Token] = []
     for k, t in enumerate(ts):
-        if t.kind in ("pem", "pass") or t.kind not in ("scheme", "host", "path") and (may_be_secret(t.text) or k > 0 and _announced(ts[k - 1], t)):
+        if t.kind in ("pem", "pass") or t.kind == "host" and _has_format(t.text) or t.kind not in ("scheme", "host") and (may_be_secret(t.text) or k > 0 and _announced(ts[k - 1], t)):
             start = max(last + 1, k - reach)
             if run and start > last + 1:
                 yield run
