@@ -1,4 +1,4 @@
-"""Queries of the general training-data problems: snapshot changes, nested records, copies in other spelling."""
+"""Queries of the general training-data problems: snapshot changes and nested records."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import format_dedup, nested, snapshot_diff
+from lintlake.operators import nested, snapshot_diff
 from lintlake.sources.tables import table
 
 
@@ -77,19 +77,11 @@ def p2_members(spark: SparkSession, d: str) -> DataFrame:
     return nested.scalar_members(table(spark, d, "scan_results").select("record_id", "payload"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return format_dedup.duplicate_endpoints(table(spark, d, "endpoints"))
-
-
-def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return format_dedup.collapsed_endpoints(table(spark, d, "endpoints"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_diff_counts, p2_found, p2_graphql_operations, p2_object_access_candidates, p2_dom_taint_findings,
-        *map(_child, CHILDREN), p2_members, p4_found, p4_collapsed,
+        *map(_child, CHILDREN), p2_members,
     )
 }
 
@@ -127,29 +119,6 @@ found as (
   join e n on n.scan_run_id = p.cur and n.value = o.value and not list_contains(p.cur_auth, n.source_url))
 """
 
-_P4 = r"""
-with shaped as (
-  select endpoint_id, value, source_url,
-    regexp_matches(value, '^[\s\p{P}\p{S}]*[A-Za-z_$][\w$]*["''`]?\s*:(?:[^/]|/[^/]|/?$)') as is_object
-  from endpoints),
-part as (
-  select endpoint_id,
-    case when is_object then '' else lower(regexp_replace(split_part(value, '?', 1), '[^\p{L}\p{N}\p{M}]', '', 'g')) end as fixed,
-    list_sort(list_filter(list_transform(
-      case when is_object then string_split(value, ',')
-           when contains(value, '?') then string_split(substr(value, instr(value, '?') + 1), '&') else [] end,
-      lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}\p{M}]', '', 'g'))), lambda x: x <> '')) as fields,
-    is_object,
-    lower(regexp_replace(split_part(source_url, '?', 1), '[^\p{L}\p{N}\p{M}]', '', 'g')) as source_fixed,
-    list_sort(list_filter(list_transform(
-      case when contains(source_url, '?') then string_split(substr(source_url, instr(source_url, '?') + 1), '&') else [] end,
-      lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}\p{M}]', '', 'g'))), lambda x: x <> '')) as source_fields
-  from shaped),
-grouped as (
-  select endpoint_id, min(endpoint_id) over g as first_endpoint_id, count(*) over g as copies
-  from part window g as (partition by is_object, fixed, fields, source_fixed, source_fields))
-"""
-
 _P2 = """
 with recursive docs as (select record_id, payload::json as j from scan_results where json_valid(payload)),
 roots as (
@@ -196,8 +165,6 @@ ORACLES = {
         "dom_taint_findings",
         {"source_name": ("source.name", _S), "source_line": ("source.line", _I), "sink_name": ("sink.name", _S), "sink_line": ("sink.line", _I), "sink_category": ("sink.category", _S)},
     ),
-    "p4_found": _P4 + "select first_endpoint_id, endpoint_id from grouped where endpoint_id <> first_endpoint_id",
-    "p4_collapsed": _P4 + "select first_endpoint_id, copies from grouped where endpoint_id = first_endpoint_id",
 }
 
 

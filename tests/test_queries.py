@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-CORE = ["p1_found", "p2_found", "p2_graphql_operations", "p4_found", "p4_collapsed", "endpoints_docs", "parameters", "graphql_ops", "postmessage", "workers", "html_links", "scope_decision", "endpoint_tags", "api_groups", "graph_stats", "batch_ids"]
+CORE = ["p1_found", "p2_found", "p2_graphql_operations", "endpoints_docs", "parameters", "graphql_ops", "postmessage", "workers", "html_links", "scope_decision", "endpoint_tags", "api_groups", "graph_stats", "batch_ids"]
 
 
 def _shape(x):
@@ -49,6 +49,6 @@ def test_core_does_not_need_the_text_subpackage():
 
 
 def test_found_queries_have_the_given_columns(spark, data):
-    want = {"p1_found": ["scan_run_id", "diff_field", "item"], "p2_found": ["record_id", "path", "parent_path"], "p4_found": ["first_endpoint_id", "endpoint_id"]}
+    want = {"p1_found": ["scan_run_id", "diff_field", "item"], "p2_found": ["record_id", "path", "parent_path"]}
     for name, cols in want.items():
         assert entry.queries()[name](spark, data).columns == cols
