@@ -80,3 +80,57 @@ def test_snapshot_store(spark, tmp_path):
     assert second["changed", "b"].old_v is None and second["changed", "b"].new_v == "x"
     assert second["removed", None].old_w == 3
     assert store.apply(make([("a", "1", 1), ("b", "x", 2), ("c", "c", 0)])).count() == 0
+
+
+def _make(spark):
+    return lambda rows: spark.createDataFrame(rows, "k string, v string")
+
+
+def test_store_holds_what_changed_before_it_swaps(spark, tmp_path, monkeypatch):
+    make, at = _make(spark), str(tmp_path / "s")
+    SnapshotStore(spark, at, ["k"], ["v"], buckets=4).apply(make([("a", "1"), ("b", "1")]))
+    store = SnapshotStore(spark, at, ["k"], ["v"], buckets=4)
+    monkeypatch.setattr(store, "_swap", lambda step: (_ for _ in ()).throw(RuntimeError("lost")))
+    try:
+        store.apply(make([("a", "2")]))
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    again = {(r.change, r.k) for r in store.apply(make([("a", "2")])).collect()}
+    assert again == {("changed", "a"), ("removed", "b")} and store.current() == 2
+    assert store.apply(make([("a", "2")])).count() == 0
+    assert sorted(p.name for p in (tmp_path / "s" / "index").glob("step=*")) == ["step=2", "step=3"]
+
+
+def test_store_counts_a_key_with_several_states_once(spark, tmp_path):
+    make = _make(spark)
+    store = SnapshotStore(spark, str(tmp_path / "s"), ["k"], ["v"], buckets=4)
+    store.apply(make([("a", "1"), ("a", "2")]))
+    assert [tuple(x) for x in store.apply(make([("a", "3"), ("a", "4")])).collect()] == [("changed", "a", "1", "3")]
+
+
+def test_many_runs_and_changes_take_the_other_way(spark, monkeypatch):
+    from datetime import datetime
+
+    from lintlake.operators import snapshot_diff
+
+    runs = spark.createDataFrame([(f"r{i}", "t", datetime(2025, 1, 1 + i), None, ["u1"] if i < 2 else []) for i in range(4)], RUN)
+    rows = [(f"r{i}", f"/{j}", "p", f"u{j % 2}", "t", str(i) if j == 3 else None) for i in range(4) for j in range(i, 9)] * 2
+    args = spark.createDataFrame(rows, EP), spark.createDataFrame([], SEC), runs
+    want = sorted(map(tuple, scan_diff(*args).collect()))
+    monkeypatch.setattr(snapshot_diff, "MOST_RUNS", 0)
+    monkeypatch.setattr(snapshot_diff, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, scan_diff(*args).collect())) == want and len(want) > 6
+
+
+def test_the_probe_shuffles_no_index(spark, tmp_path):
+    make = _make(spark)
+    store = SnapshotStore(spark, str(tmp_path / "s"), ["k"], ["v"], buckets=4)
+    store.apply(make([("a", "1")]))
+    store.apply(make([("a", "2")]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = store._probe(2, ["lo", "hi"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
