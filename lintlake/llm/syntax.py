@@ -5,18 +5,15 @@
 2. The pairs, as rows, are anti-joined with the pairs that the language's productions permit; those are derived from
    the grammar, at most the square of some 80 classes for each language, and broadcast.
 3. Nesting and productions: groups are reduced from the inside out and every flat window must fit a production.
-4. Python files that are flagged so far are read once more by the interpreter's own parser, which may only clear them.
 
-Lexed rows are written to the shared folder once, since three steps read them. No step gathers a repository: a hot
+Lexed rows are written to the shared folder once, since two steps read them; contents are never shuffled. No step gathers a repository: a hot
 one is only counted, after partial aggregation. Null contents and other extensions are left out; an empty file is
 valid except as JSON. File ids are taken as unique.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -105,19 +102,6 @@ def production_fault(lang: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([grammar(a).fault(b) for a, b in zip(lang, tokens)])
 
 
-def _python_faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    warnings.simplefilter("ignore")
-    for b in batches:
-        bad = []
-        for text in b["content"]:
-            try:
-                ast.parse(text)
-                bad.append(False)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                bad.append(True)
-        yield b.loc[bad, ["file_id", "fault"]]
-
-
 def invalid_files(files: DataFrame) -> DataFrame:
     """(file_id, lang, fault): files that do not parse, each once, with the first fault found."""
     spark = files.sparkSession
@@ -133,14 +117,7 @@ def invalid_files(files: DataFrame) -> DataFrame:
         .where("fault <> ''")
         .select("file_id", "lang", F.concat(F.lit("3 production: "), "fault").alias("fault"))
     )
-    flagged = by_lexer.unionByName(by_pair).unionByName(by_production).groupBy("file_id", "lang").agg(F.min("fault").alias("fault"))
-    flagged = cut(flagged)
-    kind = files.schema["file_id"].dataType.simpleString()
-    python = files.where(language(F.col("url")) == "py").select("file_id", "content")
-    confirmed = python.join(flagged.where("lang = 'py'").select("file_id", "fault"), "file_id").mapInPandas(
-        _python_faults, f"file_id {kind}, fault string"
-    )
-    return flagged.where("lang <> 'py'").unionByName(confirmed.select("file_id", F.lit("py").alias("lang"), "fault"))
+    return by_lexer.unionByName(by_pair).unionByName(by_production).groupBy("file_id", "lang").agg(F.min("fault").alias("fault"))
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:
