@@ -71,10 +71,17 @@ class Pairs:
     def __init__(self, expand: dict[str, list[str]], wrap: dict[str, tuple[str, str]], roles: list[Roles] = []):
         self.expand, self.wrap, self.roles = expand, wrap, roles
         self.edges: dict[str, Sets] = {}
+        self.known: dict = {}  # items seen before, as most classes stand in many places
         self.raw: set[tuple[str, str]] = set()
 
-    def _symbols(self, op, av) -> set[str]:
+    def _symbols(self, op, av) -> frozenset:
         """Classes that an item matches; of a bracket's classes one stands for all, as they begin and end alike."""
+        key = av if op is sre.LITERAL else tuple(av)
+        if key not in self.known:
+            self.known[key] = frozenset(self._reduced(op, av) - {NL})
+        return self.known[key]
+
+    def _reduced(self, op, av) -> set[str]:
         out = self._members(op, av)
         for r in self.roles:
             if any(r.base <= ord(c) < r.base + (1 << len(r.names)) for c in out):
@@ -97,7 +104,7 @@ class Pairs:
         empty, first, last = True, frozenset(), frozenset()
         for op, av in items:
             if op in (sre.LITERAL, sre.IN):
-                got = frozenset(self._symbols(op, av) - {NL})
+                got = self._symbols(op, av)
                 e, f, la = not got, got, got
             elif op is sre.SUBPATTERN:
                 e, f, la = self._walk(av[3])

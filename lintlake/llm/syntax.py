@@ -75,9 +75,14 @@ def adjacent_pairs(lang: str, tokens: str) -> set[str]:
     return {x[i : i + 2] for x in windows(lang, tokens) for i in range(len(x) - 1)}
 
 
+@lru_cache(1)
+def _permitted() -> list[tuple[str, str]]:
+    return [(lang, a + b) for lang in sorted(set(LANGUAGES.values())) for a, b in sorted(grammar(lang).pairs())]
+
+
 def permissible(spark: SparkSession) -> DataFrame:
     """(lang, pair) for every pair of adjacent tokens that a production permits."""
-    rows = [(lang, a + b) for lang in sorted(set(LANGUAGES.values())) for a, b in sorted(grammar(lang).pairs())]
+    rows = _permitted()
     return spark.createDataFrame(rows, "lang string, pair string")
 
 
