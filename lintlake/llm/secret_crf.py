@@ -12,6 +12,7 @@ import random
 import string
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -22,7 +23,7 @@ LABELS = 3
 EXAMPLES = 9000
 PASSES = 70
 #: Added to the score of a credential: a missed one costs more than a masked label.
-LEAN = 1.0
+LEAN = 2.0
 
 # Words that the generator builds names, passwords and neutral code from.
 _NOUNS = "river stone bridge garden copper silver window forest harbor meadow planet rocket puzzle magnet cactus falcon lantern pepper saddle timber velvet walnut anchor badger cinder".split()
@@ -134,12 +135,12 @@ class Maker:
             "uuid": lambda: "-".join(self.text(hexes, k) for k in (8, 4, 4, 4, 12)), "integrity": lambda: f"sha{r.choice([256, 384, 512])}-" + self.text(string.ascii_letters + string.digits + "+/", 64),
             "label": lambda: f"Passwords need {r.randint(6, 20)} characters and a {self.noun()}", "path": lambda: f"{r.choice(['secrets', 'vault', 'input', 'config', 'forms'])}/{self.noun()}/{self.noun()}",
             "scheme": lambda: r.choice(["Bearer", "Basic", "X-CSRF-Token", "X-Auth-Token", "session_token"]), "plain": lambda: r.choice([self.noun(), f"{self.noun()} {self.noun()}", f"{self.noun()}-{r.randint(1, 3)}", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}"]),
-            "piped": lambda: self.text(string.ascii_letters + string.digits, 24) + f"|{r.randint(100, 99999)}", "url": lambda: f"https://{self.noun()}.example.com/api/v{r.randint(1, 4)}/{self.noun()}/{r.randint(1, 99999)}?page={r.randint(1, 30)}&t={self.text(hexes, 4)}",
+            "piped": lambda: self.text(string.ascii_letters + string.digits, 12, 40) + f"|{r.randint(1, 999999)}", "url": lambda: f"https://{self.noun()}.example.com/api/v{r.randint(1, 4)}/{self.noun()}/{r.randint(1, 99999)}?page={r.randint(1, 30)}&t={self.text(hexes, 4)}",
             "blob": lambda: self.text(string.ascii_letters + string.digits + "+/", 72, 120), "data": lambda: "data:image/png;base64," + self.text(string.ascii_letters + string.digits + "+/", 40, 90),
             "path2": lambda: f"/api/v{r.randint(1, 4)}/{self.noun()}s/{r.randint(1, 99999)}/{self.noun()}", "code": lambda: f"{self.noun().title()}Service/Op{r.randint(1, 99):03d}",
         }[kind]()
         if kind == "piped" and r.random() < 0.8:
-            return self.text("bcdfghjkpqtvwxz", 8), value
+            return self.text(string.ascii_lowercase, 3, 12), value
         return (r.choice(_SAFE_NAMES[kind]) if kind in _SAFE_NAMES else self.neutral()), value
 
     def example(self) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
@@ -157,7 +158,7 @@ class Maker:
                 sep = r.choice(["\n", ",\n"])
                 return f"{r.choice(['PAYLOAD', 'data', 'BLOB'])} = (\n" + sep.join(lines) + "\n)\n", [], []
             if "|" in value and r.random() < 0.7:  # an entry of a table
-                pre = "".join(f'  "{self.text("bcdfghjkpqtvwxz", 8)}": "{self.text(string.ascii_letters + string.digits, 24)}|{r.randint(100, 99999)}",\n' for _ in range(r.randint(1, 3)))
+                pre = "".join(f'  "{self.text(string.ascii_lowercase, 3, 12)}": "{self.text(string.ascii_letters + string.digits, 12, 40)}|{r.randint(1, 999999)}",\n' for _ in range(r.randint(1, 3)))
             if r.random() < 0.08:
                 name, value = r.choice([("publicKey", "PUBLIC KEY"), ("certificate", "CERTIFICATE"), ("caCert", "CERTIFICATE"), ("publicKey", "RSA PUBLIC KEY"), ("publicKey", "CERTIFICATE")])
                 value = self.pem(value, r.choice(["\n", "\\n", "\n    "]))
@@ -272,35 +273,46 @@ class Crf:
     move: np.ndarray  # (labels, labels)
     start: np.ndarray
 
-    def label(self, windows: list[list[list[int]]]) -> list[list[int]]:
-        """The best labels of each window, all scored at once; a credential is preferred where the margin is below ``LEAN``."""
+    def label(self, windows: list[list[tuple[int, ...]]]) -> list[list[int]]:
+        """The best labels of each window; a credential is preferred where the margin is below ``LEAN``.
+
+        All windows are scored and walked at once, step by step, the longest first, so that those that still go on
+        are always the first rows.
+        """
         tokens = [f for w in windows for f in w]
         if not tokens:
             return [[] for _ in windows]
-        flat = np.fromiter((x for f in tokens for x in f), np.int64)
-        starts = np.cumsum([0] + [len(f) for f in tokens[:-1]])
-        e = np.add.reduceat(self.emit[flat], starts)
+        width = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.fromiter(chain.from_iterable(tokens), np.int64, int(width.sum()))
+        e = np.add.reduceat(self.emit[flat], np.cumsum(width) - width)
         e[:, 2] += LEAN
-        rows, out, at = e.tolist(), [], 0
-        move, start = self.move.tolist(), self.start.tolist()
-        for w in windows:
-            best = [a + b for a, b in zip(start, rows[at])]
-            back = []
-            for row in rows[at + 1 : at + len(w)]:
-                came, new = [], []
-                for k in range(LABELS):
-                    options = [best[j] + move[j][k] for j in range(LABELS)]
-                    top = max(options)
-                    came.append(options.index(top))
-                    new.append(top + row[k])
-                back.append(came)
-                best = new
-            path = [best.index(max(best))]
-            for came in reversed(back):
-                path.append(came[path[-1]])
-            out.append(path[::-1])
-            at += len(w)
-        return out
+        lengths = np.fromiter(map(len, windows), np.int64, len(windows))
+        first = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        at, steps = first[order], int(lengths.max())
+        going = np.searchsorted(-lengths[order], -np.arange(1, steps + 1), "right")  # windows with more than t tokens
+        best = self.start + e[at[: going[0]]]
+        came = np.zeros((len(tokens), LABELS), np.int8)
+        final = np.zeros(len(windows), np.int64)
+        for t in range(1, steps):
+            n = going[t]
+            final[n : going[t - 1]] = best[n:].argmax(1)
+            options = best[:n, :, None] + self.move
+            here = at[:n] + t
+            came[here] = options.argmax(1)
+            best = options.max(1) + e[here]
+        final[: going[steps - 1]] = best.argmax(1)
+        labels = np.zeros(len(tokens), np.int64)
+        now = np.zeros(len(windows), np.int64)
+        for t in range(steps - 1, -1, -1):
+            n = going[t]
+            ends = going[t + 1] if t + 1 < steps else 0
+            now[ends:n] = final[ends:n]
+            here = at[:n] + t
+            labels[here] = now[:n]
+            now[:n] = came[here, now[:n]]
+        out = labels.tolist()
+        return [out[a : a + n] for a, n in zip(first.tolist(), lengths.tolist())]
 
     def viterbi(self, slots: list[list[int]]) -> list[int]:
         return self.label([slots])[0]

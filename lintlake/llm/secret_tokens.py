@@ -251,32 +251,55 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
 
 
-def features(window: list[Token], k: int) -> list[int]:
-    """Slots of the features of one token in its window."""
+@lru_cache(200_000)
+def _own_slots(text: str, kind: str, quote: str, before: str, alone: bool) -> tuple[int, ...]:
+    """Slots of what a token shows by itself."""
+    own = own_features(text)
+    f = ["bias", f"kind={kind}", f"quote={quote}", f"before={before}", f"kind+quote={kind}{quote}{alone}", *own]
+    f += [f"{x}|{kind}" for x in own if x[0] == "c" or x[0] == "f"]
+    f += [f"{x}|{quote}{alone}" for x in own if x[0] == "c"]
+    if kind in ("name", "piece", "param", "note"):
+        f += [f"is={p}" for p in name_parts(text)]
+    return tuple(map(_slot, f))
+
+
+@lru_cache(200_000)
+def _main_class(text: str) -> str:
+    return next((x for x in own_features(text) if x[0] == "c"), "")
+
+
+@lru_cache(200_000)
+def _prev_slots(text: str, prev_kind: str, opened: str, kind: str, main: str) -> tuple[int, ...]:
+    """Slots of the token before, together with how this one is opened and its class."""
+    parts = name_parts(text) if prev_kind in ("name", "piece", "param", "note", "user") else (prev_kind,)
+    f = [f"prev={x}" for x in parts]
+    f += [f"prev={x}&{opened}" for x in parts]
+    f += [f"prevend={parts[-1] if len(parts) < 2 else parts[(len(parts) + 1) // 2 - 1]}" if parts else "prevend="]
+    f += [f"prevkind={prev_kind}>{kind}"]
+    f += [f"prev={x}&{main}" for x in parts]
+    return tuple(map(_slot, f))
+
+
+@lru_cache(100_000)
+def _far_slots(text: str) -> tuple[int, ...]:
+    return tuple(_slot(f"prev2={x}") for x in name_parts(text))
+
+
+def features(window: list[Token], k: int) -> tuple[int, ...]:
+    """Slots of the features of one token in its window; the parts are looked up by what they depend on."""
     t = window[k]
-    own = own_features(t.text)
-    kind = ("open" if t.before[-1:] in ("=", ":", ",") else t.before[-1:] or "none")
-    f = ["bias", f"kind={t.kind}", f"quote={t.quote}", f"before={t.before}", f"kind+quote={t.kind}{t.quote}{t.alone}", *own]
-    f += [f"{x}|{t.kind}" for x in own if x[0] == "c" or x[0] == "f"]
-    f += [f"{x}|{t.quote}{t.alone}" for x in own if x[0] == "c"]
-    if t.kind in ("name", "piece", "param", "note"):
-        f += [f"is={p}" for p in name_parts(t.text)]
+    out = _own_slots(t.text, t.kind, t.quote, t.before, t.alone)
     if k:
         p = window[k - 1]
-        parts = name_parts(p.text) if p.kind in ("name", "piece", "param", "note", "user") else (p.kind,)
-        f += [f"prev={x}" for x in parts]
-        f += [f"prev={x}&{kind}" for x in parts]
-        f += [f"prevend={parts[-1] if len(parts) < 2 else parts[(len(parts) + 1) // 2 - 1]}" if parts else "prevend="]
-        f += [f"prevkind={p.kind}>{t.kind}"]
-        main = next((x for x in own if x[0] == "c"), "")
-        f += [f"prev={x}&{main}" for x in parts]
+        opened = "open" if t.before[-1:] in ("=", ":", ",") else t.before[-1:] or "none"
+        out += _prev_slots(p.text, p.kind, opened, t.kind, _main_class(t.text))
         if k > 1:
-            f += [f"prev2={x}" for x in name_parts(window[k - 2].text)]
+            out += _far_slots(window[k - 2].text)
     else:
-        f.append("first")
+        out += (_slot("first"),)
     if k + 1 < len(window):
-        f.append(f"next={window[k + 1].kind}{window[k + 1].before[-1:]}")
-    return [_slot(x) for x in f]
+        out += (_slot(f"next={window[k + 1].kind}{window[k + 1].before[-1:]}"),)
+    return out
 
 
 # Parts of names that announce a credential, so that even a plain word after them is looked at.
@@ -305,8 +328,5 @@ def windows(ts: list[Token], reach: int = 3) -> Iterator[list[Token]]:
                 start = k - reach if k >= reach else 0
             run += ts[start if not run else last + 1 : k + 2]
             last = min(k + 1, len(ts) - 1)
-            if len(run) > 400:
-                yield run
-                run = []
     if run:
         yield run

@@ -36,11 +36,42 @@ _BY_NAME = (
 )
 
 
+#: Files whose windows are labelled together; the result of a file does not depend on it.
+TOGETHER = 64
+
+
+def find_all(crf: secret_crf.Crf, texts: list[str]) -> list[list[tuple[Token, str]]]:
+    """(token, type) of every labelled credential of each text, in order.
+
+    A further literal of a file with exactly the text of a labelled one is a span of its own; the same word as a bare
+    name of the code, or as part of something else, is none.
+    """
+    runs: list[list[Token]] = []
+    owner: list[int] = []
+    lexed = [tokens(x) for x in texts]
+    for i, ts in enumerate(lexed):
+        for w in windows(ts):
+            runs.append(w)
+            owner.append(i)
+    out: list[list[tuple[Token, str]]] = [[] for _ in texts]
+    for i, w, ys in zip(owner, runs, crf.label([[features(w, k) for k in range(len(w))] for w in runs])):
+        out[i] += [(w[k], secret_type(w, k)) for k, y in enumerate(ys) if y == 2]
+    for i, found in enumerate(out):
+        kinds = {t.text: what for t, what in reversed(found)}
+        if kinds:
+            seen = {t.start for t, _ in found}
+            found += [(t, kinds[t.text]) for t in lexed[i] if t.text in kinds and t.start not in seen and (t.alone or t.kind in ("value", "pass", "pem"))]
+            found.sort(key=lambda x: x[0].start)
+    return out
+
+
 def find(crf: secret_crf.Crf, text: str) -> list[tuple[Token, str]]:
-    """(token, type) of every labelled credential in ``text``, in order."""
-    runs = list(windows(tokens(text)))
-    labels = crf.label([[features(w, k) for k in range(len(w))] for w in runs])
-    return [(w[k], secret_type(w, k)) for w, ys in zip(runs, labels) for k, y in enumerate(ys) if y == 2]
+    return find_all(crf, [text])[0]
+
+
+def _in_parts(texts: list[str]) -> Iterator[list[str]]:
+    for at in range(0, len(texts), TOGETHER):
+        yield texts[at : at + TOGETHER]
 
 
 def secret_type(window: list[Token], k: int) -> str:
@@ -84,11 +115,12 @@ def preview(value: str) -> str:
 
 
 def mask(text: str, found: list[tuple[Token, str]]) -> str:
-    """``text`` with only the credentials' characters masked, each by one ``*``, wherever a value stands; line ends stay."""
-    if not found:
-        return text
-    values = sorted({t.text for t, _ in found}, key=len, reverse=True)
-    return re.sub("|".join(map(re.escape, values)), lambda m: re.sub(r"[^\r\n]", "*", m.group()), text)
+    """``text`` with only the characters of the spans masked, each by one ``*``; line ends stay, and all else as it was."""
+    out, at = [], 0
+    for t, _ in sorted(found, key=lambda x: x[0].start):
+        out += [text[at : t.start], re.sub(r"[^\r\n]", "*", text[max(at, t.start) : t.end])]
+        at = max(at, t.end)
+    return "".join([*out, text[at:]])
 
 
 def shared_model(spark: SparkSession, examples: int = secret_crf.EXAMPLES, seed: int = 7) -> Broadcast:
@@ -107,9 +139,10 @@ def secrets(files: DataFrame, examples: int = secret_crf.EXAMPLES) -> DataFrame:
         cols = ["file_id", "secret_type", "severity", "redacted_value", "partial_hash"]
         for b in batches:
             rows = []
-            for i, text in zip(b["file_id"], b["content"]):
+            found = (x for part in _in_parts(list(b["content"])) for x in find_all(crf.value, part))
+            for i, spans in zip(b["file_id"], found):
                 seen: set[str] = set()
-                for t, what in find(crf.value, text):
+                for t, what in spans:
                     h = partial_hash(t.text)
                     if h not in seen:
                         seen.add(h)
@@ -127,6 +160,8 @@ def redacted(files: DataFrame, examples: int = secret_crf.EXAMPLES) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"file_id": b["file_id"], "content": [None if x is None else mask(x, find(crf.value, x)) for x in b["content"]]})
+            texts = list(b["content"])
+            found = (x for part in _in_parts([x or "" for x in texts]) for x in find_all(crf.value, part))
+            yield pd.DataFrame({"file_id": b["file_id"], "content": [None if x is None else mask(x, spans) for x, spans in zip(texts, found)]})
 
     return files.select("file_id", "content").mapInPandas(run, f"file_id {kind}, content string")

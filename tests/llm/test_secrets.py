@@ -98,3 +98,25 @@ def test_held_out_places(crf):
     pairs = [(a, b) for x, y in secret_crf.labelled(600, 991, secret_crf.PlaceMaker) for a, b in zip(crf.viterbi(x), y)]
     right, wrong, missed = (sum(f(a, b) for a, b in pairs) for f in (lambda a, b: a == b == 2, lambda a, b: a == 2 != b, lambda a, b: b == 2 != a))
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+
+
+def test_the_same_word_elsewhere_stays(crf):
+    text = "falcon2043 = 1\ndef falcon2043_run():\n    return falcon2043\npassword = 'falcon2043'\ncheck('falcon2043', falcon2043_run)\n"
+    masked = secrets.mask(text, secrets.find(crf, text))
+    assert masked == text.replace("'falcon2043'", "'" + "*" * 10 + "'")
+
+
+def test_batches_label_as_single_texts(crf):
+    maker = secret_crf.Maker(5)
+    texts = [maker.example()[0] for _ in range(150)] + [""]
+    assert secrets.find_all(crf, texts) == [secrets.find(crf, x) for x in texts]
+
+
+def test_viterbi_against_all_paths(crf):
+    from itertools import product
+
+    for x, _ in secret_crf.labelled(12, 4):
+        x = x[:7]
+        e = [sum(crf.emit[f] for f in t) for t in x]
+        score = lambda ys: crf.start[ys[0]] + sum(e[k][y] + secret_crf.LEAN * (y == 2) for k, y in enumerate(ys)) + sum(crf.move[a][b] for a, b in zip(ys, ys[1:]))
+        assert score(crf.viterbi(x)) >= max(map(score, product(range(3), repeat=len(x)))) - 1e-3
