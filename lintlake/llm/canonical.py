@@ -1,10 +1,10 @@
 """Visually identical text with different characters: one consistent form.
 
-A longest-match transducer over grapheme clusters. Its mapping is built once from rules (compatibility forms,
-composition, kinds of space, invisible characters) and one fixed table of look-alike letters, and is checked for
-conflicts: printable ASCII maps to itself, every output is a fixed point, and no input has two outputs. A cluster is a
-base character with the marks and invisible characters that follow it; its output is its mapped base with its marks,
-composed. Texts without such followers take the same mapping through ``str.translate``.
+A longest-match transducer over grapheme clusters. Its mapping of code points is computed before any text is read, from
+rules (compatibility forms, composition, kinds of space, invisible characters) and one fixed table of look-alike
+letters, and is checked for conflicts: printable ASCII maps to itself, every output is a fixed point, and no two plain
+letters of one alphabet meet. A cluster is a base character with the marks and invisible characters that follow it;
+its output is its mapped base with its marks, composed. Texts without such followers take ``str.translate``.
 
 Visible differences stay: letter case, accents, digits, punctuation, line breaks and the number of spaces.
 Null stays null, an empty text stays empty; a text of invisible characters only becomes empty.
@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,9 +43,16 @@ LOOK_ALIKES = {
     # Coptic
     "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T",
     "Ⲩ": "Y", "Ⲭ": "X", "Ⲍ": "Z", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲓ": "i",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Cyrillic letters like Latin ones beyond ASCII, Cherokee small letters, Deseret
+    "ӕ": "æ", "Ӕ": "Æ", "ә": "ə", "Ә": "Ə", "ꮓ": "z", "ꮩ": "v", "ꮃ": "w", "ꮪ": "s", "ꮯ": "c", "𐐄": "O", "𐐬": "o", "𐐠": "S",
     # Latin extensions drawn like a plain letter
     "ɑ": "a", "ɡ": "g", "ɩ": "i",
 }
+# Letters of one alphabet that are drawn alike, so that both may have one output.
+TWINS = [{"І", "Ӏ"}, {"У", "Ү"}, {"у", "ү"}, {"Ꮁ", "Г"}]
 
 # Invisible characters outside category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
@@ -76,19 +83,54 @@ def _apply(cluster: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-class _Mapping(dict):
-    """Code point or cluster to its output; an entry is made at its first use and kept."""
+def _characters() -> Iterator[str]:
+    """All code points of the planes that hold characters, without surrogates and private planes."""
+    return map(chr, chain(range(0xD800), range(0xE000, 0x34000), range(0xE0000, 0xE1000)))
 
-    def __missing__(self, key: int | str) -> str:
-        out = _apply(chr(key) if isinstance(key, int) else key)
-        if len(self) < 200_000:  # long random clusters must not fill the memory
-            self[key] = out
-        return out
+
+@lru_cache(50_000)
+def _cluster(text: str) -> str:
+    """Output of a cluster of several characters: the rules on all of it, kept for those that come again."""
+    return _apply(text)
+
+
+def mapping() -> dict[int, str]:
+    """Every code point that does not stay itself, with its output; made from the rules before any text is read."""
+    out: dict[int, str] = {}
+    for ch in _characters():
+        o = ord(ch)
+        if unicodedata.decomposition(ch) or ch in LOOK_ALIKES or _is_invisible(ch) or unicodedata.category(ch) == "Zs":
+            new = _apply(ch)
+            if new != ch:
+                out[o] = new
+    check_conflicts(out)
+    return out
+
+
+def check_conflicts(table: dict[int, str]) -> None:
+    """Raises ValueError if the mapping changes visible ASCII, maps an output again, or merges letters of one script.
+
+    A code point has one output, as the table is a function; an output that is mapped again would make the form depend
+    on how often it is applied. Two plain letters of one alphabet with one output would merge texts that look apart.
+    """
+    for o in [9, 10, 13, *range(32, 127)]:
+        if o in table:
+            raise ValueError(f"{chr(o)!r} would change")
+    for o, new in table.items():
+        if "".join(table.get(ord(x), x) for x in new) != new:
+            raise ValueError(f"{chr(o)!r}: {new!r} is mapped again")
+    seen: dict[tuple[str, str], str] = {}
+    for ch, new in LOOK_ALIKES.items():
+        if len(new) != 1:
+            raise ValueError(f"{ch!r}: {new!r} is no letter")
+        script = unicodedata.name(ch).split(" ")[0]
+        if seen.setdefault((script, new), ch) != ch and {ch, seen[script, new]} not in TWINS:
+            raise ValueError(f"{ch!r} and {seen[script, new]!r} are both {new!r}")
 
 
 @lru_cache(1)
-def _compiled() -> tuple[_Mapping, re.Pattern, re.Pattern]:
-    followers = [ch for ch in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(ch) < 0xE000 and _is_follower(ch)]
+def _compiled() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
+    followers = [ch for ch in _characters() if _is_follower(ch)]
     runs: list[list[int]] = []
     for ch in followers:
         if runs and runs[-1][1] == ord(ch) - 1:
@@ -96,36 +138,24 @@ def _compiled() -> tuple[_Mapping, re.Pattern, re.Pattern]:
         else:
             runs.append([ord(ch), ord(ch)])
     cls = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-    mapping = _Mapping()
-    check_conflicts(mapping)
-    return mapping, re.compile(f"[{cls}]"), re.compile(f"[^{cls}]?[{cls}]+")
-
-
-def check_conflicts(mapping: _Mapping) -> None:
-    """Raises ValueError if the mapping would merge visible ASCII or isn't idempotent."""
-    for o in [9, 10, 13, *range(32, 127)]:
-        if mapping[o] != chr(o):
-            raise ValueError(f"{chr(o)!r} would change")
-    for a, b in LOOK_ALIKES.items():
-        if _apply(_apply(a)) != _apply(a) or LOOK_ALIKES.get(b, b) != b or len(b) != 1:
-            raise ValueError(f"{a!r}: {b!r} is mapped again")
+    return mapping(), re.compile(f"[{cls}]"), re.compile(f"[^{cls}]?[{cls}]+")
 
 
 def canonical(text: str) -> str:
     """The consistent form of ``text``."""
     if text.isascii() and text.isprintable():
         return text
-    mapping, follower, cluster = _compiled()
+    table, follower, cluster = _compiled()
     if "\r" in text:
         text = text.replace("\r\n", "\n")
     if follower.search(text) is None:
-        return text.translate(mapping)
+        return text.translate(table)
     out, at = [], 0
     for m in cluster.finditer(text):
-        out.append(text[at : m.start()].translate(mapping))
-        out.append(mapping[m.group()])
+        out.append(text[at : m.start()].translate(table))
+        out.append(_cluster(m.group()))
         at = m.end()
-    out.append(text[at:].translate(mapping))
+    out.append(text[at:].translate(table))
     return "".join(out)
 
 
@@ -161,30 +191,61 @@ def look_alike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, form binary, spelling binary")
 
 
-#: Groups with at most this many documents give every pair of documents; in larger ones copies of one spelling stand
-#: behind the smallest id of their spelling, and each copy is paired with the other spellings' smallest ids.
-FULL_GROUP = 2000
-
+#: A look-alike class above this share of all documents is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 200
+#: Parts over which the documents of a hot class are spread when pairs are made.
+SALTS = 32
 
-def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full_group: int = FULL_GROUP) -> DataFrame:
-    """(doc_id_a, doc_id_b) of documents that look the same while their strings differ.
 
-    Exact copies are aggregated map-side before anything is compared, and groups with one spelling end there. No link
-    between two spellings is lost in a large group: each of its documents is paired with every other spelling.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with form and spelling, spellings with their smallest id and copies, forms with their counts)."""
     from lintlake.sources.tables import cut
 
     rows = cut(look_alike_classes(docs, id_col, text_col))
-    classes = rows.groupBy("form", "spelling").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
-    groups = classes.groupBy("form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("docs")).where("spellings > 1")
-    member = rows.join(groups, "form").select(id_col, "form", "spelling", "docs")
-    small = member.where(F.col("docs") <= full_group)
-    a = small.select("form", F.col(id_col).alias("a"), F.col("spelling").alias("sa"))
-    b = small.select("form", F.col(id_col).alias("b"), F.col("spelling").alias("sb"))
-    pairs = a.join(b, "form").where("a < b and sa <> sb").select("a", "b")
-    reps = classes.join(groups.where(F.col("docs") > full_group).select("form"), "form", "left_semi")
-    far = member.where(F.col("docs") > full_group).join(reps.select("form", F.col("spelling").alias("sb"), "rep"), "form")
-    linked = far.where("spelling <> sb").select(
-        F.least(F.col(id_col), F.col("rep")).alias("a"), F.greatest(F.col(id_col), F.col("rep")).alias("b")
-    ).distinct()
-    return pairs.unionByName(linked).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    spellings = cut(rows.groupBy("form", "spelling").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")))
+    forms = spellings.groupBy("form").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("documents"))
+    return rows, spellings, forms
+
+
+def look_alike_membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, spelling_id, spellings, documents): one row per document with a visible character.
+
+    ``class_id`` is the smallest id of all documents that look like it, ``spelling_id`` the smallest with the same
+    string. Exact copies are aggregated before the shuffle; a hot class is looked up by broadcast (at most 200 rows).
+    """
+    rows, spellings, forms = _classes(docs, id_col, text_col)
+    total = F.lit(rows.count() * HOT_SHARE)
+    named = _named(spellings, forms)
+    hot = named.where(F.col("n") > total)
+    out = [id_col, "class_id", "spelling_id", "spellings", "documents"]
+    near = rows.join(F.broadcast(hot), ["form", "spelling"]).select(*out)
+    rest = rows.join(F.broadcast(hot.select("form", "spelling")), ["form", "spelling"], "left_anti").join(named.where(F.col("n") <= total), ["form", "spelling"])
+    return near.unionByName(rest.select(*out))
+
+
+def _named(spellings: DataFrame, forms: DataFrame) -> DataFrame:
+    """Every spelling with its own and its class's smallest id."""
+    return spellings.join(forms, "form").select("form", "spelling", "n", F.col("rep").alias("spelling_id"), "class_id", "spellings", "documents")
+
+
+def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id_a, doc_id_b) of all documents that look the same while their strings differ, whatever the class's size.
+
+    Exact copies are aggregated map-side before anything is compared, and classes of one spelling end there, hot ones
+    without being moved. Pairs are made within a class only; the documents of a hot class are spread over salts.
+    """
+    rows, _, forms = _classes(docs, id_col, text_col)
+    floor = F.lit(rows.count() * HOT_SHARE)
+    hot = forms.where(F.col("documents") > floor).select("form", "spellings")
+    rest = rows.join(F.broadcast(hot.select("form")), "form", "left_anti").join(forms.where((F.col("spellings") > 1) & (F.col("documents") <= floor)).select("form"), "form")
+    warm = rows.join(F.broadcast(hot.where("spellings > 1").select("form")), "form")
+    one, all_ = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("form", "salt", F.col(id_col).alias(x), F.col("spelling").alias(f"s{x}"))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        return side(left, "a").join(side(right, "b"), ["form", "salt"]).where("a < b and sa <> sb").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+    cold = rest.withColumn("salt", F.lit(0))
+    return pairs(cold, cold).unionByName(pairs(warm.withColumn("salt", one), warm.withColumn("salt", all_)))

@@ -45,11 +45,29 @@ def test_pairs(spark):
     assert _pairs(spark, []) == set()
 
 
-def test_large_groups_lose_no_spelling(spark):
-    rows = [(i, "abc") for i in range(50)] + [(100, "аbc"), (101, "аbc"), (102, "ａbc")]
-    got = _pairs(spark, rows, full_group=10)
-    assert all(any({a, b} == {i, j} for j in (100, 102) for a, b in got) for i in range(50))
-    assert {(100, 102), (101, 102)} <= got and not any(a < 50 and b < 50 for a, b in got)
+@pytest.mark.parametrize("share", [0.0, 0.2, 1.0])
+def test_classes_of_any_size_give_all_pairs(spark, monkeypatch, share):
+    monkeypatch.setattr(C, "HOT_SHARE", share)
+    rows = [(i, "abc" if i % 2 else "аbc") for i in range(60)] + [(100, "x y"), (101, "x\u00a0y"), (102, "x y"), (103, "alone"), (104, "alone"), (105, None)]
+    got = _pairs(spark, rows)
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and x != y and C.canonical(x) == C.canonical(y)}
+    assert got == want and len(got) == 900 + 2
+    classes = {r.doc_id: (r.class_id, r.spelling_id, r.spellings, r.documents) for r in C.look_alike_membership(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert classes[7] == (0, 1, 2, 60) and classes[8] == (0, 0, 2, 60) and classes[101] == (100, 101, 2, 3) and classes[104] == (103, 103, 1, 2) and 105 not in classes
+
+
+def test_mapping_is_made_before_use_and_checked():
+    table = C.mapping()
+    assert len(table) > 5000 and table[ord("Ａ")] == "A" and table[ord("ꓮ")] == "A" and table[0x200B] == ""
+    for bad in ({ord("x"): "y"}, {ord("б"): "Ａ", ord("Ａ"): "A"}):
+        with pytest.raises(ValueError):
+            C.check_conflicts(bad)
+
+
+def test_conflicting_letters_of_one_alphabet(monkeypatch):
+    monkeypatch.setitem(C.LOOK_ALIKES, "б", "a")
+    with pytest.raises(ValueError):
+        C.check_conflicts({})
 
 
 def test_extra_columns(spark):
