@@ -2,9 +2,10 @@
 
 Texts become streams of words (letters and digits of the consistent form, letter case folded) joined by one space. A
 passage of ``min_words`` words that stands in a document with at most ``edits`` character edits shares at least
-``length + 1 - q - edits * q`` q-grams with it inside one band of diagonals. Shared q-grams are counted per document,
-item and overlapping band; bands that meet the bound are verified by banded alignment, and with no edits allowed by
-the run of equal words on the diagonal.
+``length + 1 - q - edits * q`` q-grams with it inside one band of diagonals; q is at most ``Q`` and such that this is 1
+or more for every passage. Shared q-grams are counted per document, item and overlapping band; bands that meet the
+bound are verified by banded alignment of whole words. With no edits allowed a band is one diagonal, and its alignment
+is the run of equal characters along it.
 
 The items' q-gram index is broadcast. Its size is checked: items are cut into blocks of at most ``BLOCK_CHARS``
 characters, and each block makes one pass over the documents. Null and empty texts hold nothing; an item of fewer
@@ -70,32 +71,32 @@ class Index:
     ids: list
     texts: list[str]
     bound: np.ndarray
+    q: int
 
 
 def build_index(items: list[tuple[object, str | None]], min_words: int = MIN_WORDS, edits: int = 0) -> Index | None:
-    hs, its, pls, ids, texts, bound = [], [], [], [], [], []
+    ids, texts, shortest = [], [], []
     for i, text in items:
         words = words_of(text)
         if len(words) < min_words:
             continue
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = ends - np.array([len(w) + 1 for w in words])
-        shortest = int((ends[min_words - 1 :] - 1 - starts[: len(words) - min_words + 1]).min())
-        stream = " ".join(words)
-        h = _grams(_codes(stream))
-        hs.append(h)
-        its.append(np.full(len(h), len(ids), np.int32))
-        pls.append(np.arange(len(h), dtype=np.int32))
-        bound.append(max(1, shortest + 1 - Q - edits * Q))
+        shortest.append(int((ends[min_words - 1 :] - 1 - starts[: len(words) - min_words + 1]).min()))
         ids.append(i)
-        texts.append(stream)
+        texts.append(" ".join(words))
     if not ids:
         return None
+    q = max(1, min(Q, min(shortest) // (edits + 1)))
+    hs = [_grams(_codes(x), q) for x in texts]
+    its = [np.full(len(h), k, np.int32) for k, h in enumerate(hs)]
+    pls = [np.arange(len(h), dtype=np.int32) for h in hs]
+    bound = [max(1, n + 1 - q - edits * q) for n in shortest]
     h, it, pl = np.concatenate(hs), np.concatenate(its), np.concatenate(pls)
     order = np.argsort(h, kind="stable")
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-    return Index(h[order], it[order], pl[order], table, ids, texts, np.array(bound))
+    return Index(h[order], it[order], pl[order], table, ids, texts, np.array(bound), q)
 
 
 def _longest_word_run(a: str, b: str, shift: int, min_words: int) -> bool:
@@ -127,38 +128,66 @@ def _longest_word_run(a: str, b: str, shift: int, min_words: int) -> bool:
     return False
 
 
-def _banded(a: str, b: str, shift: int, edits: int, min_words: int) -> bool:
-    """Whether some ``min_words`` words of b align with a within ``edits`` edits, in a band around ``shift``."""
+def _banded(a: str, b: str, low: int, high: int, edits: int, min_words: int) -> bool:
+    """Whether some ``min_words`` words of b stand in a with at most ``edits`` edits, on the diagonals low to high.
+
+    A diagonal is place in a minus place in b; the band reaches ``edits`` further on both sides, since an edit may
+    leave it and come back. The spaces around a passage belong to it, so that words count as wholes.
+    """
     words = b.split(" ")
-    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])[:-1]
-    band = 2 * edits + 1
+    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])[:-1].tolist()
+    a, b = f" {a} ", f" {b} "
+    low, width, n = low - edits, high - low + 1 + 2 * edits, len(a)
     for k in range(len(words) - min_words + 1):
-        s = int(starts[k])
-        e = int(starts[k + min_words - 1]) + len(words[k + min_words - 1])
-        p = b[s:e]
-        base = s + shift - edits
-        prev = [0] * (2 * band + 1)
-        for i, ch in enumerate(p):
-            cur, best = [], edits + 1
-            for j in range(2 * band + 1):
-                at = base + i + j - band + edits
-                cost = 0 if 0 <= at < len(a) and a[at] == ch else 1
-                v = prev[j] + cost
-                if j + 1 < len(prev):
-                    v = min(v, prev[j + 1] + 1)
-                if j:
-                    v = min(v, cur[j - 1] + 1)
+        s, last = starts[k], k + min_words - 1
+        prev = [0] * width  # a passage may begin on any diagonal
+        for i in range(s, starts[last] + len(words[last]) + 2):
+            ch, at, cur = b[i], i + low, []
+            for j in range(width):
+                v = prev[j] + (not (0 <= at + j < n and a[at + j] == ch))
+                if j + 1 < width and prev[j + 1] + 1 < v:
+                    v = prev[j + 1] + 1
+                if j and cur[j - 1] + 1 < v:
+                    v = cur[j - 1] + 1
                 cur.append(v)
-                best = min(best, v)
             prev = cur
-            if best > edits:
+            if min(cur) > edits:
                 break
         else:
-            if min(prev) <= edits:
-                return True
+            return True
     return False
 
 
+#: Shared q-grams that are held at once while they are counted.
+PART = 4_000_000
+
+
+def _counted(ix: Index, h: np.ndarray, maybe: np.ndarray, start: np.ndarray, width: int, offset: int) -> tuple[np.ndarray, ...]:
+    """(document, item, band, shared q-grams), counted part by part so that boilerplate in many items fits as well."""
+    left, right = np.searchsorted(ix.hashes, h[maybe], "left"), np.searchsorted(ix.hashes, h[maybe], "right")
+    n = right - left
+    keep = n > 0
+    maybe, left, n = maybe[keep], left[keep], n[keep]
+    keys, counts = np.empty((0, 3), np.int64), np.empty(0, np.int64)
+    total = np.cumsum(n)
+    at = 0
+    while at < len(maybe):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART, "right")))
+        m, le, c = maybe[at:stop], left[at:stop], n[at:stop]
+        flat = np.repeat(le - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(int(c.sum()))
+        place = np.repeat(m, c)
+        doc = np.searchsorted(start, place, "right") - 1
+        band = ((place - start[doc]) - ix.place[flat] + offset) // width
+        keys = np.concatenate([keys, np.stack([doc, ix.item[flat], band], 1)])
+        counts = np.concatenate([counts, np.ones(len(flat), np.int64)])
+        order = np.lexsort(keys.T[::-1])
+        keys, counts = keys[order], counts[order]
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        keys, counts = keys[new], np.add.reduceat(counts, new)
+        at = stop
+    return keys[:, 0], keys[:, 1], keys[:, 2], counts
+
+
 def _search(ix: Index, ids: list, texts: list[str], min_words: int, edits: int) -> list[tuple]:
     """(document id, item id) found in a batch of word streams."""
     starts, at, pieces = [], 0, []
@@ -168,38 +197,23 @@ def _search(ix: Index, ids: list, texts: list[str], min_words: int, edits: int)
         at += len(t) + 1
     start = np.array(starts, dtype=np.int64)
     codes = _codes("\n".join(pieces))  # no item holds a line break, so no q-gram spans two documents
-    h = _grams(codes)
+    h = _grams(codes, ix.q)
     maybe = np.flatnonzero(ix.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
     if not len(maybe):
         return []
-    hm = h[maybe]
-    left, right = np.searchsorted(ix.hashes, hm, "left"), np.searchsorted(ix.hashes, hm, "right")
-    n = right - left
-    keep = n > 0
-    maybe, left, n = maybe[keep], left[keep], n[keep]
-    if not len(maybe):
-        return []
-    # one row for each shared q-gram: document, item, diagonal
-    flat = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-    place = np.repeat(maybe, n)
-    doc = np.searchsorted(start, place, "right") - 1
-    item, diag = ix.item[flat].astype(np.int64), (place - start[doc]) - ix.place[flat]
     width = 1 if edits == 0 else 1 << int(np.ceil(np.log2(2 * edits + 1)))
     found: set[tuple[int, int]] = set()
     for offset in (0,) if edits == 0 else (0, width // 2):
-        band = (diag + offset) // width
-        order = np.lexsort((band, item, doc))
-        d, i, b = doc[order], item[order], band[order]
-        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
-        count = np.diff(np.concatenate([new, [len(d)]]))
-        for k in new[count >= ix.bound[i[new]]].tolist():
-            pair = (int(d[k]), int(i[k]))
+        doc, item, band, count = _counted(ix, h, maybe, start, width, offset)
+        for k in np.flatnonzero(count >= ix.bound[item]).tolist():
+            pair = (int(doc[k]), int(item[k]))
             if pair in found:
                 continue
+            low = int(band[k]) * width - offset
             if edits == 0:
-                good = _longest_word_run(texts[pair[0]], ix.texts[pair[1]], int(b[k]), min_words)
+                good = _longest_word_run(texts[pair[0]], ix.texts[pair[1]], low, min_words)
             else:
-                good = _banded(texts[pair[0]], ix.texts[pair[1]], int(b[k]) * width - offset, edits + width, min_words)
+                good = _banded(texts[pair[0]], ix.texts[pair[1]], low, low + width - 1, edits, min_words)
             if good:
                 found.add(pair)
     return [(ids[a], ix.ids[b]) for a, b in found]

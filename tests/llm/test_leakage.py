@@ -58,3 +58,43 @@ def test_edits_within_budget(spark):
 def test_empty_tables(spark):
     assert _run(spark, [], [(1, "a " * 20)]) == set()
     assert _run(spark, [(1, "a " * 20)], []) == set()
+
+
+def _near(doc, item, n, edits):
+    """Whether n words of the item stand in the document within the edits, by a full table."""
+    w = L.words_of(item)
+    a = f" {' '.join(L.words_of(doc))} "
+    for k in range(len(w) - n + 1):
+        p = f" {' '.join(w[k : k + n])} "
+        row = [0] * (len(a) + 1)
+        for ch in p:
+            new = [row[0] + 1]
+            for j, x in enumerate(a):
+                new.append(min(row[j] + (x != ch), row[j + 1] + 1, new[j] + 1))
+            row = new
+        if min(row) <= edits:
+            return True
+    return False
+
+
+def test_edits_against_the_full_table(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART", 50)
+    r = random.Random(8)
+    vocabulary = ["tap", "trace", "of", "a", "index", "I", "signal", "by", "row"]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.randint(4, 9)))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        s = list(" ".join(r.choices(vocabulary, k=3)) + " " + r.choice(items)[1] + " " + r.choice(vocabulary))
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(s))
+            s[k : k + 1] = r.choice([[], [r.choice("xyz")], [s[k], r.choice("ab ")]])
+        docs.append((d, "".join(s)))
+    for edits in (0, 1, 2):
+        got = _run(spark, docs, items, min_words=4, edits=edits)
+        assert got == {(d, i) for d, t in docs for i, u in items if _near(t, u, 4, edits)} and len(got) > 15
+
+
+def test_one_edit_more_than_allowed_is_refused(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november".split()
+    bad = [w if k % 2 else w[:-1] + "zz" for k, w in enumerate(words)]
+    assert _run(spark, [(1, " ".join(bad))], [(1, " ".join(words))], edits=1) == set()
