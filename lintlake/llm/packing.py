@@ -1,11 +1,11 @@
 """Filling containers of fixed capacity with documents, related ones together.
 
 Sizes are tokens of a public byte-level tokenizer whose file is a parameter. Documents are spread over shards of a
-bounded number of documents by a hash of their id, so a hot source is no hot shard. Each shard holds a BM25 inverted
+bounded number of documents and terms by a hash of their id, so a hot source is no hot shard. Each shard holds a BM25 inverted
 index of its documents with corpus-wide document frequencies (terms hashed to 2^18 buckets, so the frequencies are one
 vector of fixed size, whatever the corpus). The largest unused document is the seed of a container; the index returns
-its unused neighbours by score, which fill the window greedily; what room is left is closed by the one or two unused
-items that fit it best. Containers left with room are dissolved once and their items packed again in wider shards.
+its unused neighbours by score, which fill the window greedily in that order; what room no neighbour fits into is closed by
+the one or two unused items that fit it best. Containers left with room are dissolved once and their items packed again in wider shards.
 
 A document larger than the capacity is the only kind that is split: into full containers and a rest, which is an
 item like any other. Null and empty texts have no tokens; they are items of size 0 and stand in the first container
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,17 +29,17 @@ from pyspark.sql import functions as F
 from lintlake.llm.canonical import canonical
 from lintlake.sources.tables import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Vocabulary file of the tokenizer, unless one is named.
+TOKENIZER = os.environ.get("LINTLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How the tokenizer's vocabulary cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Documents in a shard at most, on average.
+#: Documents, and distinct terms of documents, in a shard at most, on average.
 SHARD_DOCS = 3000
+SHARD_TERMS = 1_000_000
 TERM_BITS = 18
 K1, B = 1.2, 0.75
 #: A container filled to a smaller share than this is dissolved once and packed again.
-FULL = 0.97
-#: A neighbour is taken if it uses at least this share of what the largest item that fits would use.
-NEAR = 0.85
+FULL = 0.98
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -99,7 +100,7 @@ class Shard:
     """The inverted index of some items and the greedy filling of containers from it."""
 
     def __init__(self, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.sizes = sizes
+        self.sizes, self.alive = sizes, np.ones(len(sizes), bool)
         n = len(sizes)
         lengths = np.array([c.sum() if len(c) else 0 for c in counts], float)
         norm = K1 * (1 - B + B * lengths / max(mean, 1.0))
@@ -117,14 +118,18 @@ class Shard:
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """Free items that share a term with the seed, by falling BM25 score, then by place."""
-        score = np.zeros(len(self.sizes), np.float32)
-        at = np.searchsorted(self.vocabulary, self.terms[seed])
-        at = at[at < len(self.vocabulary)]
-        at = at[np.isin(self.vocabulary[at], self.terms[seed])]
-        for k in at.tolist():
-            s, e = self.starts[k], self.starts[k + 1]
-            score[self.post[s:e]] += self.weight[s:e]
-        score[~free] = 0
+        mine = self.terms[seed]
+        at = np.searchsorted(self.vocabulary, mine)
+        ok = at < len(self.vocabulary)
+        at, mine = at[ok], mine[ok]
+        at = at[self.vocabulary[at] == mine]
+        s, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        if not len(at):
+            return np.empty(0, np.int64)
+        place = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        owner = self.post[place]
+        live = free[owner]
+        score = np.bincount(owner[live], self.weight[place[live]], len(self.sizes))
         score[seed] = 0
         hit = np.flatnonzero(score > 0)
         return hit[np.argsort(-score[hit], kind="stable")]
@@ -132,8 +137,9 @@ class Shard:
     def fill(self, capacity: int) -> list[list[int]]:
         """Containers as lists of items, none above ``capacity``."""
         sizes = self.sizes
-        free = np.ones(len(sizes), bool)
+        free = self.alive.copy()
         order = np.argsort(-sizes, kind="stable")
+        order = order[free[order]]
         by_size: dict[int, list[int]] = {}
         for k in order[::-1].tolist():
             by_size.setdefault(int(sizes[k]), []).append(k)
@@ -163,23 +169,17 @@ class Shard:
                 continue
             take(seed)
             box, room = [seed], capacity - int(sizes[seed])
-            near = None
-            while room > 0:
-                have = np.flatnonzero(left[: room + 1])
-                have = have[have > 0]
-                if not len(have) or have[-1] < NEAR * room and len(have) > 1 and have[-1] + have[-2] >= room:
-                    break  # one item more, or two, close the window
-                if near is None:
-                    near = self.neighbours(seed, free)
-                # of the items that use the room about as well as the largest, the best neighbour
-                fits = near[(sizes[near] <= room) & (sizes[near] >= NEAR * have[-1])]
-                if not len(fits):
-                    break
-                k = int(fits[0])
-                take(k)
-                box.append(k)
-                room -= int(sizes[k])
-                near = near[free[near]]
+            # unused neighbours fill the window greedily by falling score
+            near = self.neighbours(seed, free) if room > 0 else np.empty(0, np.int64)
+            for k in near[sizes[near] <= room].tolist():
+                size = int(sizes[k])
+                if 0 < size <= room:
+                    take(k)
+                    box.append(k)
+                    room -= size
+                    if not room:
+                        break
+            # what no neighbour fits into is closed by size
             while room > 0:
                 have = np.flatnonzero(left[: room + 1])
                 have = have[have > 0]
@@ -213,27 +213,22 @@ def _pack(rows: pd.DataFrame, kinds: list[tuple[str, int]], idf: np.ndarray, mea
     terms = [np.asarray(t, np.int64) for t in rows["terms"]]
     counts = [np.asarray(c, np.int64) for c in rows["counts"]]
     ids, tokens = rows["doc_id"].to_numpy(), rows["tokens"].to_numpy(np.int64)
+    index = Shard(tokens, terms, counts, idf, mean)
     for kind, capacity in kinds:
-        mine = np.flatnonzero(rows["container_kind"].isna() | (rows["container_kind"] == kind)) if level else np.arange(len(rows))
-        if not len(mine):
-            continue
-        offset = rows["start"].to_numpy(np.int64)[mine] if level else np.zeros(len(mine), np.int64)
-        piece = rows["piece"].to_numpy(np.int64)[mine] if level else np.zeros(len(mine), np.int64)
-        size = tokens[mine]
-        whole = size // capacity if not level else np.zeros(len(mine), np.int64)
-        if not level:
-            for j in np.flatnonzero(whole).tolist():
-                for p in range(int(whole[j])):
-                    out.append((kind, f"{kind}-{level}-{shard}-{ids[mine[j]]}-{p}", ids[mine[j]], p, p * capacity, capacity))
-        rest = size - whole * capacity
-        live = np.flatnonzero((rest > 0) | (size == 0))
-        index = Shard(rest[live], [terms[mine[j]] for j in live], [counts[mine[j]] for j in live], idf, mean)
+        mine = ((rows["container_kind"] == kind) if level else pd.Series(True, rows.index)).to_numpy()
+        offset = rows["start"].to_numpy(np.int64) if level else np.zeros(len(rows), np.int64)
+        piece = rows["piece"].to_numpy(np.int64) if level else np.zeros(len(rows), np.int64)
+        whole = np.zeros(len(rows), np.int64) if level else tokens // capacity
+        for j in np.flatnonzero(whole).tolist():
+            for p in range(int(whole[j])):
+                out.append((kind, f"{kind}-{level}-{shard}-{ids[j]}-{p}", ids[j], p, p * capacity, capacity))
+        index.sizes = tokens - whole * capacity
+        index.alive = mine & ((index.sizes > 0) | (tokens == 0))
         for c, box in enumerate(index.fill(capacity)):
-            total = int(rest[live][box].sum())
+            total = int(index.sizes[box].sum())
             name = f"{kind}-{level}-{shard}-c{c}" if last or total >= FULL * capacity else None
-            for k in box:
-                j = live[k]
-                out.append((kind, name, ids[mine[j]], int(piece[j] + whole[j]), int(offset[j] + whole[j] * capacity), int(rest[j])))
+            for j in box:
+                out.append((kind, name, ids[j], int(piece[j] + whole[j]), int(offset[j] + whole[j] * capacity), int(index.sizes[j])))
     return pd.DataFrame(out, columns=["container_kind", "container_id", "doc_id", "piece", "start", "tokens"])
 
 
@@ -243,8 +238,9 @@ def containers(docs: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER, sh
     kinds = [(r.container_kind, int(r.capacity_tokens)) for r in sizes.orderBy("container_kind").collect()]
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     items = cut(sized(docs, tokenizer))
-    total = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("m")).first()
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("m"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("t")).first()
     n, mean = total.n, float(total.m or 1.0)
+    shards = max(1, math.ceil(n / shard_docs), math.ceil(total.t / SHARD_TERMS))
     df = document_frequencies(items)
     idf = np.where((df > 0) & (df <= max(1, n / 2)), np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)  # 2^18 numbers
@@ -258,7 +254,7 @@ def containers(docs: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER, sh
         keyed = frame.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
         return keyed.groupBy("shard").applyInPandas(run, schema)
 
-    first = cut(level(items, 0, max(1, math.ceil(n / shard_docs)), False))
+    first = cut(level(items, 0, shards, False))
     open_ = first.where("container_id is null")
     again = open_.select("container_kind", "doc_id", "piece", "start", "tokens").join(items.select("doc_id", "terms", "counts"), "doc_id")
     count = open_.count()
@@ -268,6 +264,16 @@ def containers(docs: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER, sh
     )
 
 
+def relatedness(placed: DataFrame, items: DataFrame) -> DataFrame:
+    """(container_kind, shared): mean share of a member's terms that its container's largest member has as well."""
+    own = placed.join(items.select("doc_id", "terms"), "doc_id").where(F.size("terms") > 0)
+    seed = own.groupBy("container_kind", "container_id").agg(F.max(F.struct("tokens", "doc_id", "piece")).alias("s"))
+    line = own.join(seed.select("container_kind", "container_id", "s"), ["container_kind", "container_id"])
+    heads = line.where(F.struct("tokens", "doc_id", "piece") == F.col("s")).select("container_kind", "container_id", F.col("terms").alias("head"))
+    rest = line.where(F.struct("tokens", "doc_id", "piece") != F.col("s")).join(heads, ["container_kind", "container_id"])
+    return rest.groupBy("container_kind").agg(F.avg(F.size(F.array_intersect("terms", "head")) / F.size("terms")).alias("shared"))
+
+
 def fill_report(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     """(container_kind, containers, tokens, room_left, fill) of a packing."""
     per = placed.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("used"))

@@ -57,3 +57,25 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     sizes = spark.createDataFrame([("s", 100)], "container_kind string, capacity_tokens int")
     assert K.containers(df, sizes).count() == 0
+
+
+def test_neighbours_come_before_size():
+    import numpy as np
+
+    terms = [np.array(x) for x in ([1, 2], [1], [3], [2])]
+    idf = np.zeros(10, np.float32)
+    idf[[1, 2, 3]] = 1.0
+    shard = K.Shard(np.array([50, 20, 40, 10]), terms, [np.ones(len(t), int) for t in terms], idf, 2.0)
+    assert sorted(map(sorted, shard.fill(90))) == [[0, 1, 3], [2]]
+
+
+def test_shards_are_bounded_by_terms(spark, monkeypatch):
+    if not os.path.exists(K.TOKENIZER):
+        pytest.skip("no tokenizer here")
+    monkeypatch.setattr(K, "SHARD_TERMS", 200)
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(30)], "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("s", 400)], "container_kind string, capacity_tokens int")
+    rows = K.containers(df, sizes).collect()
+    assert len({r.doc_id for r in rows}) == 30 and all(r.container_id for r in rows)
+    shared = {r.container_kind: r.shared for r in K.relatedness(spark.createDataFrame(rows), K.sized(df)).collect()}
+    assert 0 <= shared.get("s", 0) < 0.5
