@@ -128,6 +128,9 @@ def check_conflicts(table: dict[int, str]) -> None:
             raise ValueError(f"{ch!r} and {seen[script, new]!r} are both {new!r}")
 
 
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+
+
 @lru_cache(1)
 def _compiled() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
     followers = [ch for ch in _characters() if _is_follower(ch)]
@@ -143,8 +146,8 @@ def _compiled() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
 
 def canonical(text: str) -> str:
     """The consistent form of ``text``."""
-    if text.isascii() and text.isprintable():
-        return text
+    if text.isascii() and _CONTROL.search(text) is None:
+        return text.replace("\r\n", "\n")  # plain ASCII maps to itself
     table, follower, cluster = _compiled()
     if "\r" in text:
         text = text.replace("\r\n", "\n")

@@ -76,3 +76,10 @@ def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "аbc")], "doc_id bigint, text string").withColumns({"form": F.lit(1), "spelling": F.lit("x"), "a": F.lit(2)})
     assert C.look_alike_pairs(df).count() == 1
     assert [r.canonical for r in C.canonical_texts(df).collect()] == ["abc", "abc"]
+
+
+def test_plain_ascii_takes_the_short_way_to_the_same_form():
+    table, _, _ = C._compiled()
+    for o in range(128):
+        text = f"a{chr(o)}b\r\n"
+        assert C.canonical(text) == (f"a{chr(o)}b\n").translate(table)
