@@ -431,6 +431,9 @@ def inline_script_endpoints(spark, d):
     return E.endpoints(E.inline_scripts(pages(spark, d)))
 
 
+ORACLES["inline_script_endpoints"] = f"select distinct file_id, url as source_url, name as pattern_name, value from {D.hits('(' + ORACLES['inline_scripts'] + ')', P.ENDPOINTS)} where value <> ''"
+
+
 @query(f"select file_id, url, case when regexp_matches(ref, '^https?://') then ref else {_resolved('ref')} end as map_url from (select *, regexp_extract(content, {D.lit(P.SOURCE_MAP)}, 1) as ref from docs) where ref <> ''")
 def source_map_refs(spark, d):
     return E.source_map_refs(documents(spark, d))
@@ -494,17 +497,24 @@ def endpoint_env(spark, d):
 _PATHV = "case when starts_with(value, '/') then value else '/' || ltrim(value, '/') end"
 
 
+_PATH_OF = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
 @query(
-    f"""select endpoint_id, value, source_url, case when source_url in (select unnest(auth_only_js_urls) from scan_runs union select url from fetched_files where file_id % 7 = 0) then 'auth-required'
-  when {_PATHV} in (select value from endpoints where endpoint_id % 11 = 0) then 'live' when value in (select value from snapshot_endpoints) or not {_PATHV} in (select regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) from (select 'https://x.example' || value as url from endpoints where endpoint_id % 2 = 0)) then 'historical' else 'live' end as tag,
+    f"""select endpoint_id, value, source_url, case when source_url in (select unnest(auth_only_js_urls) from scan_runs) then 'auth-required'
+  when {_PATHV} in (select {_PATH_OF} from fetched_files where origin = 'runtime' union select regexp_replace(value, '[?].*$', '') from snapshot_endpoints where tag = 'live') then 'live'
+  when value in (select value from snapshot_endpoints where tag = 'historical') or not {_PATHV} in (select {_PATH_OF} from fetched_files union select regexp_replace(value, '[?].*$', '') from snapshot_endpoints where environment is not null) then 'historical' else 'live' end as tag,
   {_fill(_ENV, 'source_url')} as environment from endpoints"""
 )
 def endpoint_tags(spark, d):
+    """Tags from auth-only scripts of the runs, paths seen at runtime, earlier snapshots and fetched URLs."""
     e = table(spark, d, "endpoints").select("endpoint_id", "value", "source_url")
-    auth = table(spark, d, "scan_runs").select(F.explode("auth_only_js_urls").alias("url")).unionByName(table(spark, d, "fetched_files").where("file_id % 7 = 0").select("url"))
-    runtime = e.where("endpoint_id % 11 = 0").select(F.col("value").alias("path"))
-    collected = e.where("endpoint_id % 2 = 0").select(F.concat(F.lit("https://x.example"), "value").alias("url"))
-    return R.tag_endpoints(e, collected, table(spark, d, "snapshot_endpoints").select("value"), auth, runtime).select("endpoint_id", "value", "source_url", "tag", "environment")
+    files, old = table(spark, d, "fetched_files").select("url", "origin"), table(spark, d, "snapshot_endpoints").select("value", "tag", "environment")
+    path = lambda df: df.select(F.regexp_replace("value", "[?].*$", "").alias("path"))
+    runtime = files.where("origin = 'runtime'").select(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path")).unionByName(path(old.where("tag = 'live'")))
+    collected = files.select("url").unionByName(path(old.where("environment is not null")).select(F.concat(F.lit("https://x.example"), "path").alias("url")))
+    auth = table(spark, d, "scan_runs").select(F.explode("auth_only_js_urls").alias("url"))
+    return R.tag_endpoints(e, collected, old.where("tag = 'historical'").select("value"), auth, runtime).select("endpoint_id", "value", "source_url", "tag", "environment")
 
 
 def _group_sql() -> str:
@@ -534,27 +544,45 @@ def endpoint_identifier(spark, d):
     return table(spark, d, "endpoints").select("endpoint_id", R.endpoint_identifier(F.col("value")).alias("identifier"))
 
 
+def _order(number, a=None, b=None):
+    """A place that no two rows share by chance: a number, then the row's own texts."""
+    return F.struct(number.cast("bigint").alias("n"), (a if a is not None else F.lit("")).alias("a"), (b if b is not None else F.lit("")).alias("b"))
+
+
 def _object_inputs(spark, d):
     docs = documents(spark, d)
-    found = E.endpoints(docs)
-    eps = table(spark, d, "endpoints").select(F.col("endpoint_id").alias("ord"), "value", "source_url")
-    more = found.select((F.lit(10_000_000_000) + F.xxhash64("file_id", "pattern_name", "value")).alias("ord"), "value", "source_url")
-    params = E.parameters(docs).select((F.col("line") + F.col("file_id") * 100_000).alias("ord"), "name", "source_url", "function_name")
+    eps = table(spark, d, "endpoints").select(_order(F.col("endpoint_id")).alias("ord"), "value", "source_url")
+    more = E.endpoints(docs).select(_order(F.col("file_id") + F.lit(1 << 60), F.col("pattern_name"), F.col("value")).alias("ord"), "value", "source_url")
+    params = E.parameters(docs).select(F.struct("file_id", "line", "name").alias("ord"), "name", "source_url", "function_name")
     return eps, more, params, docs
 
 
-@query(
-    f"""select endpoint, identifier, source_url, case when lower(identifier) in {tuple(P.CROSS_TENANT)!r} then 4 when len(p) > 0 then 3 else 1 end as level, p as sensitive_properties from (
-  select value as endpoint, {_fill(_IDENT, 'value')} as identifier, arg_min(source_url, endpoint_id) as source_url from endpoints where {_fill(_IDENT, 'value')} is not null group by 1, 2)
-left join (select url, arg_max(ps, ord) as p0 from (select url, ord, list_filter(q, lambda x, i: list_position(q, x) = i)[1:10] as ps from (select url, ord, {D.values(P.SENSITIVE_PROPERTY)} as q from docs where content is not null)) group by 1) d on d.url = source_url, lateral (select coalesce(p0, []) as p)"""
-)
+_PARAMS = f"({ORACLES['parameters']})"
+_PROPS = f"""(select url, arg_max({{'p': ps, 's': spread}}, ord) as d from (select url, ord, list_filter(q, lambda x, i: list_position(q, x) = i)[1:10] as ps, spread from
+  (select url, ord, {D.values(P.SENSITIVE_PROPERTY)} as q, {' or '.join(D.has(p) for p in P.SPREADS)} as spread from docs where content is not null)) group by 1)"""
+
+
+def _objects_sql(endpoints: str, order: str) -> str:
+    """All three kinds of candidates over (value, source_url, order)."""
+    return f"""select o.endpoint, o.identifier, f.f.f as function_name, coalesce(d.d.p, []) as sensitive_properties,
+  case when lower(o.identifier) in {tuple(P.CROSS_TENANT)!r} then 4 when len(coalesce(d.d.p, [])) > 0 then 3 when f.f.f is not null then 2 else 1 end as level, 'BOLA' as bug_class, o.source_url
+from (select value as endpoint, {_fill(_IDENT, 'value')} as identifier, arg_min(source_url, {order}) as source_url from {endpoints} where {_fill(_IDENT, 'value')} is not null group by 1, 2) o
+left join (select source_url, lower(name) as n, arg_min({{'f': function_name}}, (file_id, line, name)) as f from {_PARAMS} group by 1, 2) f on f.source_url = o.source_url and f.n = lower(o.identifier)
+left join {_PROPS} d on d.url = o.source_url
+union all select v.endpoint, 'privileged_path', g.f, []::varchar[], 2, 'BFLA', v.source_url from (select value as endpoint, arg_min(source_url, {order}) as source_url from {endpoints} where regexp_matches(value, {D.lit(P.PRIVILEGED)}) group by 1) v
+left join (select source_url, arg_min(function_name, (file_id, line, name)) as f from {_PARAMS} where function_name is not null group by 1) g on g.source_url = v.source_url
+union all select coalesce(e.endpoint, d.url), 'spread_pattern', null, d.d.p, 3, 'mass_assignment', d.url from {_PROPS} d
+left join (select source_url, arg_min(value, {order}) as endpoint from {endpoints} group by 1) e on e.source_url = d.url where d.d.s and len(d.d.p) > 0"""
+
+
+@query(_objects_sql("endpoints", "endpoint_id"))
 def object_authorization(spark, d):
-    """Object access candidates of the endpoint table (no function names there)."""
+    """All three kinds of candidates of the endpoint table, with the functions and properties of the documents."""
     eps, _, params, docs = _object_inputs(spark, d)
-    return R.object_access(eps, params.limit(0), docs).where("bug_class = 'BOLA'").select("endpoint", "identifier", "source_url", "level", "sensitive_properties")
+    return R.object_access(eps, params, docs)
 
 
-@query()
+@query(_objects_sql("(select distinct file_id, url as source_url, name as pattern_name, value from " + D.hits("docs", P.ENDPOINTS) + " where value <> '')", "(file_id, pattern_name, value)"))
 def object_authorization_docs(spark, d):
     """All three kinds of candidates from what the documents themselves call."""
     _, more, params, docs = _object_inputs(spark, d)
@@ -734,17 +762,24 @@ def evidence_items(spark, d):
     return R.evidence_items(table(spark, d, "endpoints"))
 
 
-@query(f"select doc_id from documents where {_fill(_INJ, 'text')}")
+_TEXTS = "(select doc_id as id, text from documents union all select file_id, content from docs)"
+
+
+def _texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(documents(spark, d).select(F.col("file_id").alias("id"), F.col("content").alias("text")))
+
+
+@query(f"select id from {_TEXTS} where {_fill(_INJ, 'text')}")
 def injection_flags(spark, d):
     odd = F.lit(False)
     for r in P.INJECTIONS:
         odd = odd | F.col("text").rlike("(?i)" + r)
-    return table(spark, d, "documents").where(odd).select("doc_id")
+    return _texts(spark, d).where(odd).select("id")
 
 
-@query("select doc_id from documents where " + " or ".join(f"contains(lower(text), '{w}')" for w in P.UNSAFE_WORDS))
+@query(f"select id from {_TEXTS} where " + " or ".join(f"contains(lower(text), '{w}')" for w in P.UNSAFE_WORDS))
 def unsafe_text(spark, d):
-    return R.unsafe_texts(table(spark, d, "documents"), "text").select("doc_id")
+    return R.unsafe_texts(_texts(spark, d), "text").select("id")
 
 
 @query("select pattern_name, value, source_url, arg_max(tag, endpoint_id) as tag, max(endpoint_id) as endpoint_id, min(endpoint_id) as first_order from endpoints group by 1, 2, 3")
@@ -798,10 +833,21 @@ def wordlist_endpoints(spark, d):
     return table(spark, d, "endpoints").where("value is not null").select("value").distinct()
 
 
-@query()
+_EVERY = """(select endpoint_id as n, '' as a, '' as b, value, source_url from endpoints union all select distinct file_id + 1152921504606846976, pattern_name, value, value, source_url from (""" + ORACLES["endpoints_docs"] + "))"
+_TEMPLATE = "regexp_replace(regexp_replace({0}, '/:[a-zA-Z_][a-zA-Z0-9_]*|\\{[a-zA-Z_][a-zA-Z0-9_]*\\}', '/REPLACE_ID', 'g'), '(/)\\d{3,}', '\\1REPLACE_ID', 'g')"
+
+
+@query(
+    f""", cand as ({_objects_sql(_EVERY, '(n, a, b)')})
+select distinct '1 object access' as section, {_TEMPLATE.replace('{0}', 'endpoint')} as item from cand where bug_class = 'BOLA' union all select distinct '2 privileged', endpoint from cand where bug_class = 'BFLA'
+union all (select '3 auth-required', item from (select {_TEMPLATE.replace('{0}', 'value')} as item, min(value) as o from endpoints where tag = 'auth-required' group by 1) order by o, item limit 30)
+union all (select '4 graphql', endpoint from (select distinct endpoint from ({ORACLES['graphql_ops']})) order by endpoint nulls first limit 5)
+union all (select '5 others', item from (select {_TEMPLATE.replace('{0}', 'value')} as item, min(value) as o from endpoints where tag in ('live', 'historical') and value not in (select endpoint from cand where endpoint is not null)
+  and value not in (select value from endpoints where tag = 'auth-required' and value is not null) group by 1) order by o, item limit 50)"""
+)
 def review_queue(spark, d):
     eps, more, params, docs = _object_inputs(spark, d)
-    return R.review_queue(R.object_access(eps, params, docs), table(spark, d, "endpoints"), E.graphql_operations(docs))
+    return R.review_queue(R.object_access(eps.unionByName(more), params, docs), table(spark, d, "endpoints"), E.graphql_operations(docs))
 
 
 @query("select tag, severity, n from (select 'x' as tag, severity, count(*) as n from snapshot_secrets group by 2) order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 when 'info' then 4 else 99 end")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.plans import reference, streams, training
+from lintlake.plans import reference, reports, streams, training
 
-_MODULES = (reference, streams, training)
+_MODULES = (reference, reports, streams, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,6 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lintlake.operators import extract
 from lintlake.sources.tables import ensure_checkpoint_dir, table
@@ -29,10 +28,9 @@ def stream_endpoints(spark: SparkSession, d: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Pattern and value of endpoints, once each, as they arrive."""
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = incremental.document_stream(spark, _glob(d, "endpoints"), table(spark, d, "endpoints").schema).withColumn("seen_at", F.coalesce("seen_at", F.timestamp_seconds(F.lit(0))))
-    seen = incremental.first_seen(rows, ["pattern_name", "value"], "seen_at", "3650 days").select("pattern_name", "value")
-    incremental.run_to_table(seen, f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    rows = incremental.document_stream(spark, _glob(d, "endpoints"), table(spark, d, "endpoints").schema, files_per_batch=1)
+    incremental.write_first_seen(rows.select("pattern_name", "value"), ["pattern_name", "value"], f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("pattern_name", "value")
 
 
 QUERIES = {f.__name__: f for f in (stream_endpoints, stream_first_seen)}

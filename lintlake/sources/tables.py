@@ -15,14 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for ``checkpoint()``.
 
-    A cluster names it in ``spark.checkpoint.dir`` and that setting wins; only where it is unset (tests, one
-    machine) is a temporary folder used.
+    A cluster names it in ``spark.checkpoint.dir`` and that setting wins. Where it is unset a temporary folder is used
+    on one machine (a local master); on a cluster that would not be shared, and the call fails.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lintlake-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-CORE = ["p1_found", "p2_found", "p2_graphql_operations", "endpoints_docs", "parameters", "graphql_ops", "postmessage", "workers", "html_links", "scope_decision", "endpoint_tags", "api_groups", "graph_stats", "batch_ids"]
+CORE = ["p1_found", "p2_found", "p2_graphql_operations", "endpoints_docs", "parameters", "graphql_ops", "postmessage", "workers", "html_links", "scope_decision", "endpoint_tags", "api_groups", "graph_stats", "batch_ids", "normal_parameters", "normal_string_sets", "ssrf_shape", "jwt_alg_none", "retire_flatten", "dependency_priority", "change_messages", "object_authorization", "entry_points", "document_streams", "stream_first_seen"]
 
 
 def _shape(x):
