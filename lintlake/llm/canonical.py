@@ -144,13 +144,13 @@ def _compiled() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
     return mapping(), re.compile(f"[{cls}]"), re.compile(f"[^{cls}]?[{cls}]+")
 
 
-def canonical(text: str) -> str:
-    """The consistent form of ``text``."""
-    if text.isascii() and _CONTROL.search(text) is None:
-        return text.replace("\r\n", "\n")  # plain ASCII maps to itself
+#: What the mapping or a cluster may change, with the character before it, which may be the base of a cluster.
+_SPAN = re.compile(r"[\t-\r -~]?[^\t-\r -~]+")
+
+
+def _transduce(text: str) -> str:
+    """The transducer on any text."""
     table, follower, cluster = _compiled()
-    if "\r" in text:
-        text = text.replace("\r\n", "\n")
     if follower.search(text) is None:
         return text.translate(table)
     out, at = [], 0
@@ -162,6 +162,18 @@ def canonical(text: str) -> str:
     return "".join(out)
 
 
+_short = lru_cache(100_000)(_transduce)
+
+
+def canonical(text: str) -> str:
+    """The consistent form of ``text``. Plain ASCII maps to itself, so only the spans around other characters are read."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
+    if text.isascii() and _CONTROL.search(text) is None:
+        return text
+    return _SPAN.sub(lambda m: (_short if m.end() - m.start() < 40 else _transduce)(m.group()), text)
+
+
 def canonical_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, canonical): the consistent form of every text."""
     kind = docs.schema[id_col].dataType.simpleString()

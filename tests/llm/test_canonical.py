@@ -83,3 +83,13 @@ def test_plain_ascii_takes_the_short_way_to_the_same_form():
     for o in range(128):
         text = f"a{chr(o)}b\r\n"
         assert C.canonical(text) == (f"a{chr(o)}b\n").translate(table)
+
+
+def test_spans_give_the_form_of_the_whole_text():
+    import random
+
+    r = random.Random(4)
+    pool = "ab \n\t.éÉＡａ\u0301\u200b\u00a0аꓮ\x01\x7f한\u1100\u1161ﬁ漢😀\u200d\ufe0f"
+    for _ in range(3000):
+        text = "".join(r.choices(pool, k=r.randint(0, 60)))
+        assert C.canonical(text) == C._transduce(text)
