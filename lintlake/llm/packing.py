@@ -17,12 +17,12 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +39,8 @@ SHARD_TERMS = 1_000_000
 TERM_BITS = 18
 K1, B = 1.2, 0.75
 #: A container filled to a smaller share than this is dissolved once and packed again.
-FULL = 0.98
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+FULL = 0.97
+_WORD = re.compile(r"[^\W_]+")
 
 
 @lru_cache(4)
@@ -114,30 +114,42 @@ class Shard:
         self.vocabulary, starts = np.unique(flat[order], return_index=True)
         self.post, self.weight = owner[order], weight[order]
         self.starts = np.append(starts, len(flat))
+        self.live = self.post, self.weight, self.starts
         self.terms = terms
 
-    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Free items that share a term with the seed, by falling BM25 score, then by place."""
+    def neighbours(self, seed: int, free: np.ndarray, room: int | None = None) -> np.ndarray:
+        """Free items of at most ``room`` that share a term with the seed, by falling BM25 score, then by place."""
         mine = self.terms[seed]
         at = np.searchsorted(self.vocabulary, mine)
         ok = at < len(self.vocabulary)
         at, mine = at[ok], mine[ok]
         at = at[self.vocabulary[at] == mine]
-        s, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        if not len(at):
+        post, weight, starts = self.live
+        s, n = starts[at], starts[at + 1] - starts[at]
+        if not n.any():
             return np.empty(0, np.int64)
         place = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        owner = self.post[place]
-        live = free[owner]
-        score = np.bincount(owner[live], self.weight[place[live]], len(self.sizes))
+        owner = post[place]
+        fits = free if room is None else free & (self.sizes <= room)
+        live = fits[owner]
+        score = np.bincount(owner[live], weight[place[live]], len(self.sizes))
         score[seed] = 0
         hit = np.flatnonzero(score > 0)
         return hit[np.argsort(-score[hit], kind="stable")]
 
+    def compact(self, free: np.ndarray) -> None:
+        """Leaves the postings of free items alone, so that a seed does not walk those of used ones."""
+        post, weight, starts = self.live
+        kept = free[post]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        self.live = post[kept], weight[kept], before[starts]
+
     def fill(self, capacity: int) -> list[list[int]]:
         """Containers as lists of items, none above ``capacity``."""
         sizes = self.sizes
         free = self.alive.copy()
+        self.live = self.post, self.weight, self.starts
+        indexed = len(free)
         order = np.argsort(-sizes, kind="stable")
         order = order[free[order]]
         by_size: dict[int, list[int]] = {}
@@ -169,9 +181,13 @@ class Shard:
                 continue
             take(seed)
             box, room = [seed], capacity - int(sizes[seed])
+            unused = int(left.sum())
+            if unused < indexed * 0.7:
+                self.compact(free)
+                indexed = unused
             # unused neighbours fill the window greedily by falling score
-            near = self.neighbours(seed, free) if room > 0 else np.empty(0, np.int64)
-            for k in near[sizes[near] <= room].tolist():
+            near = self.neighbours(seed, free, room) if left[1 : room + 1].any() else np.empty(0, np.int64)
+            for k in near.tolist():
                 size = int(sizes[k])
                 if 0 < size <= room:
                     take(k)
