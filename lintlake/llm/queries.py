@@ -61,11 +61,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with twelve consecutive words of an item in which up to two characters were edited."""
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2)
-
-
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Number of documents that hold each leaked item."""
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
@@ -84,7 +79,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_secrets, p3_redacted, p4_found, p4_collapsed, p5_found, p5_reasons, p5_hand_written, p6_found, p6_rates, p7_containers, p7_fill, p8_found, p8_near, p8_items, p9_found, p9_classes, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_secrets, p3_redacted, p4_found, p4_collapsed, p5_found, p5_reasons, p5_hand_written, p6_found, p6_rates, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_classes, p9_canonical)}
 _P4 = r"""
 with shaped as (
   select endpoint_id, value, source_url,
