@@ -276,20 +276,28 @@ def url_slug(url: Column) -> Column:
 def template_matches(values: DataFrame, paths: DataFrame) -> DataFrame:
     """Values that a runtime path confirms, literally or as a template of segments.
 
-    A template matches paths of its own number of segments, so values are joined on that number and the first fixed
-    segment where there is one, and the pattern only decides among those; nothing is compared with everything.
+    A template's shape is its number of segments and the places of its parameters. A path is written with those places
+    blank in every shape of its length that has the same first fixed segment, and values meet it by equality; one
+    without parameters meets the path as it stands. Work grows with paths times shapes, never with paths times values.
     """
-    path = F.when(F.col("value").startswith("/"), F.col("value")).otherwise(F.concat(F.lit("/"), F.col("value")))
-    v = values.select("value").distinct().withColumn("_p", F.regexp_extract(path, r"^([^?#]*)", 1))
-    v = v.withColumn("_n", F.size(F.split("_p", "/"))).withColumn("_s", F.split("_p", "/"))
-    wild = lambda s: s.rlike(r"^:\w+$|^\{\w+\}$")
-    fixed = F.filter(F.transform(F.col("_s"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: (x["s"] != "") & ~wild(x["s"]))
-    v = v.withColumn("_at", F.coalesce(F.get(fixed, 0)["i"], F.lit(0))).withColumn("_key", F.coalesce(F.get(fixed, 0)["s"], F.lit("")))
-    r = paths.select("path").distinct().withColumn("_n", F.size(F.split("path", "/"))).withColumn("_r", F.split("path", "/"))
-    r = r.select("_n", "_r", F.posexplode("_r").alias("_at", "_key"))
-    r = r.where("_key <> '' or _at = 0")
-    fits = F.forall(F.arrays_zip(F.col("_s").alias("a"), F.col("_r").alias("b")), lambda z: wild(z["a"]) & (z["b"] != "") | (z["a"] == z["b"]))
-    return v.join(r, ["_n", "_at", "_key"]).where(fits).select("value").distinct()
+    wild = r"(?::\w+|\{\w+\})"
+    blanked = lambda s, at: F.concat(F.array_join(at.cast("array<string>"), ","), F.lit(":"), F.array_join(F.transform(s, lambda x, i: F.when(F.array_contains(at, i), "").otherwise(x)), "/"))
+
+    whole = F.when(F.col("value").startswith("/"), F.col("value")).otherwise(F.concat(F.lit("/"), F.col("value")))
+    path = F.substring_index(F.substring_index(whole, "?", 1), "#", 1)
+    template = F.col("_p").rlike(rf"/{wild}(?:/|\z)")
+    places = F.filter(F.transform(F.split("_p", "/"), lambda s, i: F.when(s.rlike(rf"^{wild}\z"), i)), lambda i: i.isNotNull())
+    fixed = F.filter(F.transform(F.split("_p", "/"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: (x["s"] != "") & ~F.array_contains("_w", x["i"]))
+    shapes = values.select(path.alias("_p")).where(template).withColumn("_w", places).withColumn("_f", F.get(fixed, 0))
+    shapes = shapes.select(F.size(F.split("_p", "/")).alias("_n"), F.coalesce("_f.i", F.lit(0)).alias("_at"), F.coalesce("_f.s", F.lit("")).alias("_first"), "_w").distinct()
+
+    seen = paths.select("path").distinct()
+    r = seen.select("path", F.posexplode(F.split("path", "/")).alias("_at", "_first")).where("_first <> '' or _at = 0").withColumn("_n", F.size(F.split("path", "/")))
+    r = r.join(shapes, ["_n", "_at", "_first"]).withColumn("_r", F.split("path", "/")).where(F.forall("_w", lambda i: F.get("_r", i) != ""))
+    keys = r.select(blanked(F.col("_r"), F.col("_w")).alias("_key")).distinct().unionByName(seen.select(F.concat(F.lit(":"), "path").alias("_key")))
+    v = values.select("value").distinct().withColumn("_p", path).withColumn("_w", F.when(template, places))
+    v = v.withColumn("_key", F.when(F.col("_w").isNull(), F.concat(F.lit(":"), "_p")).otherwise(blanked(F.split("_p", "/"), F.col("_w"))))
+    return v.join(keys, "_key", "left_semi").select("value")
 
 
 def unresolved_citations(citing: DataFrame, cited: DataFrame, key: str = "evidence_id") -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lintlake.operators import extract as E
@@ -94,6 +97,37 @@ def test_batches_and_templates(spark):
     assert rows(R.template_matches(values, paths), "value") == [("/a/{id}",), ("/{x}/c",)]
 
 
+def test_template_matches_equal_all_pairs(spark):
+    rng = random.Random(5)
+    piece = lambda own: rng.choice(["a", "b", "", "4711", "a.b", ":id", "{id}", "{x", "é", *own])
+    values = ["/a/{id}\r\n", "/a/{id}\n", "a/:id", "", "?a", "/", None] + ["/".join(piece([":x", "{a}?q=1", "{b}#f", "a?b"]) for _ in range(rng.randint(1, 5))) for _ in range(1500)]
+    paths = ["/a/1", "/a/1\r\n", "/a/", "", "/", None] + ["/" * rng.randint(0, 1) + "/".join(piece(["a?b", "#"]) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    wild = lambda s: re.fullmatch(r":\w+|\{\w+\}", s, re.A)
+    parts = lambda v: re.match("[^?#]*", v if v.startswith("/") else "/" + v)[0].split("/")
+    fits = lambda s, r: len(s) == len(r) and all(a == b or wild(a) and b != "" for a, b in zip(s, r, strict=True))
+    want = {v for v in values if v is not None and any(p is not None and fits(parts(v), p.split("/")) for p in paths)}
+    got = R.template_matches(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert sorted(rows(got, "value")) == sorted((v,) for v in want) and len(want) > 100 and "/a/{id}\r\n" not in want
+
+
+def test_template_matches_joins_no_pairs(spark):
+    values = spark.createDataFrame([(f"/api/{{id}}?q={i}",) for i in range(300)], "value string")
+    paths = spark.createDataFrame([(f"/api/{i}",) for i in range(300)], "path string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = R.template_matches(values, paths)
+        assert len(got.collect()) == 300
+        todo, most = [got._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                most = max(most, node.metrics().apply("numOutputRows").value())
+        assert 0 < most <= 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_sinks_and_streaming(spark, docs, tmp_path):
     from lintlake.sources import sinks
     from lintlake.streaming import incremental
